@@ -21,5 +21,23 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe}
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.langid import op4
+
+    return op4(table(spark, sf_dir, "documents"))
+
+
+def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.fertility import op9
+
+    return op9(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.quality import op10
+
+    return op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe, "op4_language": op4_language, "op9_fertility": op9_fertility, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}
