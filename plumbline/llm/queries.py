@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.common import table
+from plumbline.llm.mixing import ORACLE as MIX_SQL
 
 
 def vocabulary(name: str) -> str:
@@ -27,6 +28,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4(table(spark, sf_dir, "documents"))
 
 
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.mixing import op8
+
+    return op8(table(spark, sf_dir, "documents"))
+
+
 def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.fertility import op9
 
@@ -39,5 +46,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe, "op4_language": op4_language, "op9_fertility": op9_fertility, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe, "op4_language": op4_language, "op8_mix": op8_mix, "op9_fertility": op9_fertility, "op10_quality": op10_quality}
+ORACLES: dict[str, str] = {"op8_mix": MIX_SQL}
