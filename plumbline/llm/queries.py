@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.common import table
 from plumbline.llm.mixing import ORACLE as MIX_SQL
+from plumbline.llm.warczip import ORACLE as WARC_SQL
 
 
 def vocabulary(name: str) -> str:
@@ -28,6 +29,18 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4(table(spark, sf_dir, "documents"))
 
 
+def op6_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.sharding import op6
+
+    return op6(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.warczip import op7
+
+    return op7(table(spark, sf_dir, "pages"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.mixing import op8
 
@@ -46,5 +59,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe, "op4_language": op4_language, "op8_mix": op8_mix, "op9_fertility": op9_fertility, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {"op8_mix": MIX_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe, "op4_language": op4_language, "op6_hilbert": op6_hilbert, "op7_warc": op7_warc, "op8_mix": op8_mix, "op9_fertility": op9_fertility, "op10_quality": op10_quality}
+ORACLES: dict[str, str] = {"op7_warc": WARC_SQL, "op8_mix": MIX_SQL}
