@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.common import table
 from plumbline.llm.mixing import ORACLE as MIX_SQL
+from plumbline.llm.setjoin import ORACLE as JACCARD_SQL
 from plumbline.llm.warczip import ORACLE as WARC_SQL
 
 
@@ -17,6 +18,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.setjoin import op2
+
+    return op2(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.bpe import op3
 
@@ -59,5 +66,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe, "op4_language": op4_language, "op6_hilbert": op6_hilbert, "op7_warc": op7_warc, "op8_mix": op8_mix, "op9_fertility": op9_fertility, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {"op7_warc": WARC_SQL, "op8_mix": MIX_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_jaccard": op2_jaccard, "op3_bpe": op3_bpe, "op4_language": op4_language, "op6_hilbert": op6_hilbert, "op7_warc": op7_warc, "op8_mix": op8_mix, "op9_fertility": op9_fertility, "op10_quality": op10_quality}
+ORACLES: dict[str, str] = {"op2_jaccard": JACCARD_SQL, "op7_warc": WARC_SQL, "op8_mix": MIX_SQL}
