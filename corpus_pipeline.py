@@ -1,9 +1,50 @@
-"""Stages over a corpus."""
+"""A corpus from documents, in stages; each is written as Parquet and read again by the next.
 
-STAGES = []
+Language ID lets go what has no language, the Jaccard join keeps one document of each group of near
+duplicates, personal data is redacted, sources are mixed to their target weights (documents that
+are due several copies are repeated), and BPE encoding gives the tokens.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm import bpe, langid, mixing, pii, setjoin
+from plumbline.llm.common import table, written
+from plumbline.llm.queries import vocabulary
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.without_rejected(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return setjoin.one_of_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redacted(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, ids, n_tokens and ids_sha256; texts decode from the ids."""
+    out = bpe.with_tokens(docs.select("doc_id", "source", "lang", "text"), vocabulary("byte_bpe_50k.json"), into="bpe", decoded=False)
+    return out.select("doc_id", "source", "lang", F.col("bpe.ids").alias("ids"), F.col("bpe.n_tokens").alias("n_tokens"), F.col("bpe.ids_sha256").alias("ids_sha256"))
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mix", mix), ("encode", encode)]
+
+#: A trained model and a BPE vocabulary take part, which SQL does not have.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
