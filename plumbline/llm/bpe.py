@@ -144,9 +144,9 @@ def loaded(vocabulary: str) -> ByteBpe:
     return _loaded[key]
 
 
-def with_tokens(df: DataFrame, vocabulary_path: str, text: str = "text", into: str = "bpe", keep_ids: bool = True) -> DataFrame:
-    """df with a struct column `into`: ids array<int> (if keep_ids), n_tokens long, ids_sha256,
-    decoded string (if keep_ids) and decoded_sha256.
+def with_tokens(df: DataFrame, vocabulary_path: str, text: str = "text", into: str = "bpe", ids: bool = True, decoded: bool = True) -> DataFrame:
+    """df with a struct column `into`: n_tokens long, ids_sha256, and if asked for ids array<int>, decoded (the text from
+    the ids) and in any case decoded_sha256.
 
     A null text counts as empty: no ids, decoded to the empty text. Repeated rows stay; other
     columns pass through; a column that is named as `into` is replaced. The vocabulary is read on the
@@ -154,7 +154,7 @@ def with_tokens(df: DataFrame, vocabulary_path: str, text: str = "text", into: s
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
-    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
 
     @F.pandas_udf(fields)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -162,11 +162,11 @@ def with_tokens(df: DataFrame, vocabulary_path: str, text: str = "text", into: s
         for batch in texts:
             rows = []
             for t in batch:
-                ids = bpe.encode(t or "")
-                decoded = bpe.decode(ids)
-                row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-                rows.append(row + (np.frombuffer(ids, dtype="<i4"), decoded) if keep_ids else row)
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep_ids)
+                got = bpe.encode(t or "")
+                back = bpe.decode(got)
+                row = [len(got) // 4, hashlib.sha256(got).hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest()]
+                rows.append(row + [np.frombuffer(got, dtype="<i4")] * ids + [back] * decoded)
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids + ["decoded"] * decoded)
 
     return df.withColumn(into, run(F.col(f"`{text}`")))
 
@@ -175,4 +175,4 @@ def op3(spark: SparkSession, docs: DataFrame, vocabulary_path: str) -> DataFrame
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     own = docs.select("doc_id", "text")
     into = fresh_name(own, "bpe")
-    return with_tokens(own, vocabulary_path, into=into, keep_ids=False).select("doc_id", f"{into}.n_tokens", f"{into}.ids_sha256", f"{into}.decoded_sha256")
+    return with_tokens(own, vocabulary_path, into=into, ids=False, decoded=False).select("doc_id", f"{into}.n_tokens", f"{into}.ids_sha256", f"{into}.decoded_sha256")
