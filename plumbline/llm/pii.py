@@ -182,7 +182,7 @@ def redact(text: Column, spans: Column) -> Column:
         return F.struct(F.when(s["end"] > acc["at"], F.concat(acc["out"], gap, name)).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    done = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
+    done = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
     return F.when(F.size(spans) == 0, text).otherwise(done)
 
 

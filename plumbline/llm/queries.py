@@ -18,6 +18,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.spotsigs import op1
+
+    return op1(table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.setjoin import op2
 
@@ -72,5 +78,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_jaccard": op2_jaccard, "op3_bpe": op3_bpe, "op4_language": op4_language, "op5_pii": op5_pii, "op6_hilbert": op6_hilbert, "op7_warc": op7_warc, "op8_mix": op8_mix, "op9_fertility": op9_fertility, "op10_quality": op10_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_spotsigs": op1_spotsigs, "op2_jaccard": op2_jaccard, "op3_bpe": op3_bpe, "op4_language": op4_language, "op5_pii": op5_pii, "op6_hilbert": op6_hilbert, "op7_warc": op7_warc, "op8_mix": op8_mix, "op9_fertility": op9_fertility, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {"op2_jaccard": JACCARD_SQL, "op7_warc": WARC_SQL, "op8_mix": MIX_SQL}
