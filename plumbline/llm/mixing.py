@@ -80,7 +80,8 @@ def with_copies(df: DataFrame, text: str = "text", source: str = "source", doc_i
     buckets = written(before.join(sources, ["s_null", "s_key"]).drop("words_here", "s_rank", "weight"), "buckets")
     discard(slim), discard(sources)
     own = keyed.withColumn("m_bucket", bucket).join(buckets, ["s_null", "s_key", "m_bucket"])
-    odds = (F.col("m_u") / (1 - F.col("m_u"))) / (F.col("p") / (1 - F.col("p")))
+    # without a fraction to fill, inclusion odds are zero and all odds null
+    odds = F.try_divide(F.col("m_u") / (1 - F.col("m_u")), F.col("p") / (1 - F.col("p")))
     ranking = Window.partitionBy("s_null", "s_key", "m_bucket").orderBy(odds.asc_nulls_last(), F.col(f"`{doc_id}`"), "m_size").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("words_before") + F.coalesce(F.sum("m_size").over(ranking), F.lit(0))
     extra = (at + F.col("m_size") / 2 < F.col("open")).cast("long")
