@@ -13,8 +13,7 @@ model (signatures, weighed by how common short subsets are), for each band.
 Slack lets a record pass over signatures that tell nothing: empty subsets, and hot ones, which more than
 HOT records have. Whether a signature is passed over depends on the signature alone, so a pair misses
 only if both records have passed over more than the slack; such records join on hot signatures too,
-by stars: each with one hub a round, whose verified links merge components, and at last all pairs that
-still lie in different components. Every candidate is verified exactly.
+where hubs and rare elements keep the number of candidates small (see hot_links). Every candidate is verified exactly.
 
 Equal sets are one record throughout. Records are told by 61 bits of their sets' hash; a check looks for
 two sets with the same id, and the seed is changed if there are any.
@@ -27,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import discard, fresh_name, written
@@ -38,7 +37,6 @@ HOT = 8
 GROUPED = 2_000_000
 #: Ids are broadcast up to so many, else joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-STAR_ROUNDS = 2
 #: Cost model: how often an element is a common one, and what a signature of only common elements costs.
 COMMON, PENALTY = 0.2, 50.0
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -264,21 +262,12 @@ def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) whose sets (node, elements) reach the similarity."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch["x"], batch["y"]):
-                r, s = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
-                both = np.concatenate([r, s])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(den * shared >= num * (len(both) - shared))
-            yield batch.loc[np.array(ok, dtype=bool), ["a", "b"]]
-
     sized = pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
     sized = sized.where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").select("a", "b")
-    second = sized.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
-    return second.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    own = lambda as_node, as_set: sets.select(F.col("node").alias(as_node), F.col("elements").alias(as_set))
+    both = sized.join(own("b", "y"), "b").join(own("a", "x"), "a")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.withColumn("shared", shared).where(F.col("shared") * (den + num) >= num * (F.size("x") + F.size("y"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -298,22 +287,53 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
-def hot_pairs(entries: DataFrame, labels: DataFrame | None, tested: DataFrame | None, every: bool, turn: int) -> DataFrame:
-    """Candidates (a, b) from entries (sig, node): with one hub of each signature, or all that lie in different components."""
-    e = entries
-    if labels is not None:
-        e = e.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    else:
-        e = e.withColumn("comp", F.col("node"))
-    spread = e.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("hub")).where("c0 != c1")
-    if not every:
-        out = e.join(spread, "sig").where("comp != hub.comp").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-    else:
-        e = e.join(spread.select("sig"), "sig", "left_semi")
-        o = e.select("sig", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-        out = e.join(o, "sig").where("node < other and comp != other_comp").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    out = out.distinct()
-    return out if tested is None else out.join(tested, ["a", "b"], "left_anti")
+def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (keys, of, elements) by element that several rows of the keys have, with its place among the row's elements, the
+    rarest first. Elements that only one row has lead to no partner, but take their places."""
+    each = rows.select(*keys, "of", *([c for c in ("linked",) if c in rows.columns]), F.explode("elements").alias("el"))
+    counts = each.groupBy(*keys, "el").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    place = Window.partitionBy(*keys, "of").orderBy(F.coalesce("df", F.lit(0)), "el")
+    return each.join(counts, [*keys, "el"], "left").withColumn("at", F.row_number().over(place)).where("df is not null")
+
+
+def hot_links(hot: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links and further candidates (a, b) among the records of hot signatures (sig, node).
+
+    The hub of a signature is its record with the most hot signatures. E(x), what x differs from its hub h in, says all about pairs near a hub:
+    x and y differ in as many elements as E(x) and E(y). Records that link to the hub are in one component, so one of a pair still
+    asked for doesn't: |E(x)| > H(x, h). Then E(x) and E(y) must share (|E(x)| + |E(y)| - H(x, y)) / 2 > 0 elements, and the rare
+    elements at the front of both, as many as this leaves, hold one of these. Near copies of one text thus aren't compared
+    with each other unless they share rare edits. Records that are far from a hub are compared by the rare elements of their sets.
+    """
+    more, less = den + num, den - num
+    degree = hot.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    hubs = hot.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("hub")).select("sig", F.col("hub.node").alias("hub"))
+    star = hot.join(hubs, "sig").where("node != hub").select("hub", "node").distinct().join(degree.select(F.col("node").alias("hub"), "degree"), "hub")
+    full = star.join(sets.select("node", F.col("n").alias("n_x"), F.col("elements").alias("x")), "node").join(sets.select(F.col("node").alias("hub"), F.col("n").alias("n_h"), F.col("elements").alias("h")), "hub")
+    apart = F.concat(F.array_except("x", "h"), F.array_except("h", "x"))
+    full = full.select("hub", "degree", F.col("node").alias("of"), "n_x", "n_h", apart.alias("elements")).withColumn("e", F.size("elements").cast("long"))
+    full = written(full.withColumn("linked", F.col("e") * more <= (F.col("n_x") + F.col("n_h")) * less).withColumn("near", F.col("e") * 2 <= F.col("n_x")).withColumn("elements", F.when(F.col("near"), F.col("elements"))), "hubs")
+    links = full.where("linked").select(F.least("hub", "of").alias("a"), F.greatest("hub", "of").alias("b"))
+    near = full.where("near")
+    # places that the least number of shared elements leaves, for the record that doesn't link and for its partner
+    own = f"e - greatest(ceil((e * {more} - (n_x + n_h) * {less}) / {2 * more}.0), 1) + 1"
+    partner = f"e - greatest(ceil((e * {more} + (n_h - n_x) * {less} + 1) / {2 * more}.0), 1) + 1"
+    # two records that have the same first hub are compared there alone
+    main = near.groupBy("of").agg(F.max(F.struct("degree", "hub")).alias("main")).select("of", F.col("main.hub").alias("main"))
+    places = near.join(main, "of").select("hub", "of", "main", F.expr(own).alias("own"), F.expr(partner).alias("partner"))
+    rows = _ranked(near, ["hub"]).join(places, ["hub", "of"])
+    x = rows.where("not linked and at <= own").select("hub", "el", F.col("of").alias("a"), F.col("main").alias("m_a"))
+    y = rows.where("at <= partner").select("hub", "el", F.col("of").alias("b"), F.col("main").alias("m_b"))
+    by_edits = x.join(y, ["hub", "el"]).where("a != b and (m_a != m_b or hub = m_a)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    far = full.where("not near").select("of").distinct()
+    every = hot.select("node").distinct().join(sets, "node").select(F.col("node").alias("of"), "n", "elements")
+    front = _ranked(every, []).join(every.select("of", "n", F.expr(f"n - ceil(n * {num} / {den}.0) + 1").alias("take")), "of").where("at <= take").select("of", "n", "at", "el")
+    front = written(front, "front")
+    rare = front.join(far, "of").select("el", F.col("of").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a")).join(front.select("el", F.col("of").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b")), "el")
+    # if this is the first element that the two share, no more than those behind it can follow
+    rare = rare.where(f"a != b and {den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b) and (1 + least(n_a - at_a, n_b - at_b)) * {more} >= {num} * (n_a + n_b)")
+    rare = rare.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return links, by_edits.union(rare).distinct()
 
 
 def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, num: int = 80, den: int = 100, into: str = "near") -> DataFrame:
@@ -349,25 +369,26 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, size = [], 0
             for want, t in zip(batch["want"], batch["t"]):
                 s = shingle_set(t, n, seed)
                 if record_id(s)[0] == want:  # of repeated ids with several texts, the right one
-                    rows.append((want, len(s), s.tobytes()))
+                    rows.append((want, len(s), s.view(np.int64)))
+                    size += len(s)
+                if size > GROUPED // 4:
+                    yield pd.DataFrame(rows, columns=["node", "n", "elements"])
+                    rows, size = [], 0
             yield pd.DataFrame(rows, columns=["node", "n", "elements"])
 
-    found_sets = base.join(ids, "row").select("want", "t").mapInPandas(sets_of, "node long, n long, elements binary")
+    found_sets = base.join(ids, "row").select("want", "t").mapInPandas(sets_of, "node long, n long, elements array<long>")
     if slim.groupBy("row").count().where("count > 1").limit(1).count():  # repeated ids may repeat a set
         found_sets = found_sets.dropDuplicates(["node"])
     sets = written(found_sets, "elements")
     links = written(verified(few, sets, num, den), "links")
     if hot.limit(1).count():
-        tested = few
-        for turn in range(STAR_ROUNDS + 1):
-            labels = components(links)
-            more = written(hot_pairs(hot, labels, tested, turn == STAR_ROUNDS, turn), "star")
-            links = written(links.union(verified(more, sets, num, den)).distinct(), "links")
-            tested = tested.union(more)
+        by_hub, asked = hot_links(hot, sets, num, den)
+        more = written(asked.join(few, ["a", "b"], "left_anti"), "asked")
+        links = written(links.union(by_hub).union(verified(more, sets, num, den)).distinct(), "links")
     labels = components(links)
     full = nodes.select("node", "rep").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = full.groupBy("comp").agg(F.min("rep").alias("component_id"))

@@ -24,6 +24,8 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
     and axis, then Gray coding, and their bits are interleaved.
     """
     n = len(axes)
+    if n == 1:
+        return axes[0].cast("long")
     steps = F.array(*(F.struct(F.lit(1 << b).alias("q"), F.lit(i).alias("i")) for b in range(bits - 1, 0, -1) for i in range(n)))
 
     def turn(x: Column, step: Column) -> Column:
@@ -46,7 +48,7 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
 
     start = F.array(*(a.cast("int") for a in axes))
     turned = F.aggregate(steps, start, turn) if bits > 1 else start
-    return let(let(let(turned, gray), straighten) if n > 1 else turned, interleave)
+    return let(let(let(turned, gray), straighten), interleave)
 
 
 def category(column: str, bits: int) -> Column:
