@@ -220,9 +220,9 @@ def sentinel_rows(r: DataFrame) -> DataFrame:
 
 
 def write_reports(run: Run, folder: str, formats: Iterable[str] = ("summary", "tsv", "rdf", "xlsx", "unresolved")) -> list[str]:
-    """bdq-report-<format> for each format; what can't be written is told as one error."""
+    """dq-report-<format> for each format; what can't be written is told as one error."""
     r = execute.ordered(run.responses)
-    at = lambda name: os.path.join(folder, f"bdq-report-{name}")
+    at = lambda name: os.path.join(folder, f"dq-report-{name}")
 
     def text() -> str:
         with open(at("summary.txt"), "w", encoding="utf-8") as f:

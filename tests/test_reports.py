@@ -44,9 +44,9 @@ def test_tables(done):
 def test_files(done, tmp_path):
     paths = write_reports(done, str(tmp_path))
     assert all(os.path.exists(p) for p in paths)
-    with zipfile.ZipFile(tmp_path / "bdq-report-xlsx.xlsx") as z:
+    with zipfile.ZipFile(tmp_path / "dq-report-xlsx.xlsx") as z:
         assert 'name="Final Values"' in z.read("xl/workbook.xml").decode() and b"URGENT" in z.read("xl/worksheets/sheet3.xml")
-    with zipfile.ZipFile(tmp_path / "bdq-report-unresolved.xlsx") as z:
+    with zipfile.ZipFile(tmp_path / "dq-report-unresolved.xlsx") as z:
         assert b"No implementation discovered" in z.read("xl/worksheets/sheet1.xml")
     assert [column_letters(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
 
@@ -62,7 +62,7 @@ def test_cli(tmp_path, spark):
     (tmp_path / "u.xml").write_text('<usecases><useCase id="urn:u" policy="urn:p"/></usecases>')
     (tmp_path / "d.ttl").write_text('<urn:p> <urn:x:hasTest> <urn:rule:orderstatus> . <urn:rule:orderstatus> <http://www.w3.org/2000/01/rdf-schema#label> "VALIDATION_O" .')
     args = ["--dataset", str(tmp_path / "d.zip"), "--use-cases", str(tmp_path / "u.xml"), "--definitions", str(tmp_path / "d.ttl"), "--reports", str(tmp_path / "r")]
-    assert main(args) == 0 and (tmp_path / "r/bdq-report-summary.txt").exists()
+    assert main(args) == 0 and (tmp_path / "r/dq-report-summary.txt").exists()
     assert main(["--nonsense"]) == 2 and main([*args[2:], "--dataset", "x.bin"]) == 1
 
 

@@ -7,7 +7,7 @@ from plumbline import policy, rdf
 from plumbline.model import PlumblineError
 from plumbline.sources import cached, config, names, read_records, read_settings, strict_bool, threads, write_settings
 
-NS = "@prefix b: <urn:bdq:> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .\n"
+NS = "@prefix b: <urn:dq:> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .\n"
 
 
 def archive(path, entries):
@@ -54,17 +54,17 @@ def test_settings_and_config(spark, tmp_path):
 
 def test_turtle():
     t = rdf.parse_turtle(NS + '<urn:t:1> a b:Validation ; rdfs:label "A \\"q\\""@en , """x\ny""" ; b:n 1, 2.5, true ; b:x [ b:y <urn:z> ] ; b:l ( 1 "b" ) . # end\nb:t2 a b:Test.')
-    assert rdf.Triple("urn:t:1", rdf.TYPE, rdf.iri("urn:bdq:Validation")) in t
+    assert rdf.Triple("urn:t:1", rdf.TYPE, rdf.iri("urn:dq:Validation")) in t
     assert any(x.o == rdf.Term("literal", 'A "q"', None, "en") for x in t) and any(x.o.value == "x\ny" for x in t)
-    assert {x.o.datatype for x in t if x.p == "urn:bdq:n"} == {rdf.XSD + k for k in ("integer", "decimal", "boolean")}
-    assert sum(x.p.endswith("#rest") for x in t) == 2 and t[-1].s == "urn:bdq:t2"
+    assert {x.o.datatype for x in t if x.p == "urn:dq:n"} == {rdf.XSD + k for k in ("integer", "decimal", "boolean")}
+    assert sum(x.p.endswith("#rest") for x in t) == 2 and t[-1].s == "urn:dq:t2"
     with pytest.raises(PlumblineError):
         rdf.parse_turtle("<a> <b> .. ")
 
 
 def test_rdfxml_and_jsonld():
-    x = rdf.parse_rdfxml('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:b="urn:bdq:"><b:UseCase rdf:about="urn:u"><b:label>L</b:label><b:policy rdf:resource="urn:p"/></b:UseCase></rdf:RDF>')
-    j = rdf.parse_jsonld('{"@context": {"b": "urn:bdq:", "policy": {"@id": "b:policy", "@type": "@id"}}, "@graph": [{"@id": "urn:u", "@type": "b:UseCase", "b:label": "L", "policy": "urn:p"}]}')
+    x = rdf.parse_rdfxml('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:b="urn:dq:"><b:UseCase rdf:about="urn:u"><b:label>L</b:label><b:policy rdf:resource="urn:p"/></b:UseCase></rdf:RDF>')
+    j = rdf.parse_jsonld('{"@context": {"b": "urn:dq:", "policy": {"@id": "b:policy", "@type": "@id"}}, "@graph": [{"@id": "urn:u", "@type": "b:UseCase", "b:label": "L", "policy": "urn:p"}]}')
     assert set(x) == set(j) and len(x) == 3
 
 
