@@ -37,6 +37,10 @@ HOT = 8
 GROUPED = 2_000_000
 #: Ids are broadcast up to so many, else joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Sets of hubs are broadcast up to so many elements (8 bytes each), else joined by a shuffle.
+BROADCAST_ELEMENTS = 4_000_000
+#: Elements are counted by these many first bits of their hashes, to compare sets before they are sent.
+CELL_BITS = 7
 #: Cost model: how often an element is a common one, and what a signature of only common elements costs.
 COMMON, PENALTY = 0.2, 50.0
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -262,14 +266,33 @@ def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) whose sets (node, elements) reach the similarity."""
 
-    sized = pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
+    sized = pairs.distinct().join(sets.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
     sized = sized.where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").select("a", "b")
+    sized = written(sized, "sized")
+    # what two sets differ in by cell of the universe is a lower bound of what they differ in
+    cells = lambda as_node, as_cells: sets.select(F.col("node").alias(as_node), F.col("n").alias(f"n_{as_node}"), F.col("cells").alias(as_cells))
+    apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda t, v: t + v)
+    close = cells("b", "q").join(_sent(sized, sized.count()), "b").join(cells("a", "p"), "a").where(apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b")
+    close = written(close, "close")
+    n_pairs, n_sets = close.count(), sets.count()
     own = lambda as_node, as_set: sets.select(F.col("node").alias(as_node), F.col("elements").alias(as_set))
-    both = sized.join(own("b", "y"), "b").join(own("a", "x"), "a")
+    second = own("b", "y").join(_sent(close, n_pairs), "b")
+    # the fewer rows are dealt out: the pairs again with their first sets, or all sets
+    both = second.join(own("a", "x").join(_sent(close, n_pairs), "a"), ["a", "b"]) if n_pairs < n_sets else second.join(own("a", "x"), "a")
     shared = F.size(F.array_intersect("x", "y"))
     return both.withColumn("shared", shared).where(F.col("shared") * (den + num) >= num * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def _sent(ids: DataFrame, n: int) -> DataFrame:
+    """ids (n rows of a few longs) to be broadcast while they are few, so that sets needn't be dealt out."""
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
+
+
+def _counted(ids: DataFrame, name: str) -> tuple[DataFrame, int]:
+    ids = written(ids, name)
+    return ids, ids.count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the least node that is reachable, for the nodes of edges (a, b). Every round takes
     the least label around and then that label's own label; tables of the round before are dropped."""
@@ -309,7 +332,9 @@ def hot_links(hot: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[Data
     degree = hot.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     hubs = hot.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("hub")).select("sig", F.col("hub.node").alias("hub"))
     star = hot.join(hubs, "sig").where("node != hub").select("hub", "node").distinct().join(degree.select(F.col("node").alias("hub"), "degree"), "hub")
-    full = star.join(sets.select("node", F.col("n").alias("n_x"), F.col("elements").alias("x")), "node").join(sets.select(F.col("node").alias("hub"), F.col("n").alias("n_h"), F.col("elements").alias("h")), "hub")
+    hub_sets = written(sets.select(F.col("node").alias("hub"), F.col("n").alias("n_h"), F.col("elements").alias("h")).join(_sent(*_counted(hubs.select("hub").distinct(), "hub-ids")), "hub", "left_semi"), "hub-sets")
+    small = (hub_sets.agg(F.sum("n_h")).first()[0] or 0) <= BROADCAST_ELEMENTS
+    full = sets.select("node", F.col("n").alias("n_x"), F.col("elements").alias("x")).join(_sent(*_counted(star, "star")), "node").join(F.broadcast(hub_sets) if small else hub_sets, "hub")
     apart = F.concat(F.array_except("x", "h"), F.array_except("h", "x"))
     full = full.select("hub", "degree", F.col("node").alias("of"), "n_x", "n_h", apart.alias("elements")).withColumn("e", F.size("elements").cast("long"))
     full = written(full.withColumn("linked", F.col("e") * more <= (F.col("n_x") + F.col("n_h")) * less).withColumn("near", F.col("e") * 2 <= F.col("n_x")).withColumn("elements", F.when(F.col("near"), F.col("elements"))), "hubs")
@@ -326,7 +351,7 @@ def hot_links(hot: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[Data
     y = rows.where("at <= partner").select("hub", "el", F.col("of").alias("b"), F.col("main").alias("m_b"))
     by_edits = x.join(y, ["hub", "el"]).where("a != b and (m_a != m_b or hub = m_a)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     far = full.where("not near").select("of").distinct()
-    every = hot.select("node").distinct().join(sets, "node").select(F.col("node").alias("of"), "n", "elements")
+    every = sets.join(_sent(*_counted(hot.select("node").distinct(), "hot-nodes")), "node").select(F.col("node").alias("of"), "n", "elements")
     front = _ranked(every, []).join(every.select("of", "n", F.expr(f"n - ceil(n * {num} / {den}.0) + 1").alias("take")), "of").where("at <= take").select("of", "n", "at", "el")
     front = written(front, "front")
     rare = front.join(far, "of").select("el", F.col("of").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a")).join(front.select("el", F.col("of").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b")), "el")
@@ -373,14 +398,15 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
             for want, t in zip(batch["want"], batch["t"]):
                 s = shingle_set(t, n, seed)
                 if record_id(s)[0] == want:  # of repeated ids with several texts, the right one
-                    rows.append((want, len(s), s.view(np.int64)))
+                    cells = np.minimum(np.bincount((s >> U(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS), 127)
+                    rows.append((want, len(s), cells.astype(np.int8), s.view(np.int64)))
                     size += len(s)
                 if size > GROUPED // 4:
-                    yield pd.DataFrame(rows, columns=["node", "n", "elements"])
+                    yield pd.DataFrame(rows, columns=["node", "n", "cells", "elements"])
                     rows, size = [], 0
-            yield pd.DataFrame(rows, columns=["node", "n", "elements"])
+            yield pd.DataFrame(rows, columns=["node", "n", "cells", "elements"])
 
-    found_sets = base.join(ids, "row").select("want", "t").mapInPandas(sets_of, "node long, n long, elements array<long>")
+    found_sets = base.join(ids, "row").select("want", "t").mapInPandas(sets_of, "node long, n long, cells array<tinyint>, elements array<long>")
     if slim.groupBy("row").count().where("count > 1").limit(1).count():  # repeated ids may repeat a set
         found_sets = found_sets.dropDuplicates(["node"])
     sets = written(found_sets, "elements")
