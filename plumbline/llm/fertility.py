@@ -1,8 +1,8 @@
 """Quality rules by tokeniser fertility.
 
 A public vocabulary with byte fallback measures, over the whole text, characters per token, the share
-of byte-fallback tokens and the entropy of the tokens. Each script has bands; a text outside them is
-rejected. The base rules (length, repeated words) come first.
+of byte-fallback tokens and the entropy of the tokens. Each script has bands, and so have languages with
+labelled documents; a text outside them is rejected. The base rules (length, repeated words) come first.
 """
 
 from __future__ import annotations
@@ -38,16 +38,33 @@ class Band:
     least_chars_per_token: float
     most_chars_per_token: float
     most_byte_share: float
-    least_entropy: float  # bits, of texts with at least 100 tokens
+    least_entropy: tuple[float, ...]  # bits, of texts with at least 100, 200, 400, … tokens; the last for all longer ones
 
 
-#: Rejection bands by script. A text's script is that of most of its letters.
+#: Entropy grows with a text's length, so its floors do.
+FLOORS = (5.56, 5.88, 6.19, 6.40, 6.52, 6.62)
+
+
+def _language(least_chars_per_token: float, shift: float) -> Band:
+    return Band(least_chars_per_token, 8.0, 0.05, tuple(round(f + shift, 2) for f in FLOORS))
+
+
+#: Rejection bands by language, for texts in Latin letters whose language is given, and by script otherwise. A text's
+#: script is that of most of its letters, "none" without letters. The floors of the four languages are the 0.5 % quantiles of the 2,573 documents
+#: of sf0.1 that have quality 1, pass the base rules and aren't held out; those of Latin are the lowest of the four. No labels are
+#: there for the rest: their byte shares lie above those of sentences in Arabic, Hebrew, Devanagari, Thai, Kana, Hangul, Georgian,
+#: Armenian, Tamil, Burmese and Ethiopic letters (0 to 0.83), and of numbers and emoji (0 to 0.29). What is nearly all bytes can't be judged and goes.
 BANDS = {
-    "Latin": Band(1.45, 8.0, 0.05, 4.5),
-    "Cyrillic": Band(1.2, 8.0, 0.10, 4.0),
-    "Greek": Band(0.7, 8.0, 0.30, 4.0),
-    "Han": Band(0.3, 8.0, 0.80, 4.0),
-    "other": Band(0.2, 12.0, 1.0, 3.5),
+    "en": _language(2.037, 0.14),
+    "de": _language(2.105, 0.0),
+    "es": _language(1.808, -0.06),
+    "fr": _language(1.797, -0.02),
+    "Latin": _language(1.45, -0.06),
+    "Cyrillic": Band(1.2, 8.0, 0.10, (4.0,)),
+    "Greek": Band(0.7, 8.0, 0.30, (4.0,)),
+    "Han": Band(0.3, 8.0, 0.80, (4.0,)),
+    "other": Band(0.2, 12.0, 0.90, (3.5,)),
+    "none": Band(0.2, 12.0, 0.50, (3.0,)),
 }
 SCRIPTS = {name: regex.compile(rf"\p{{{name}}}").findall for name in ("Cyrillic", "Greek", "Han")}
 LATIN = regex.compile(r"\p{Latin}").findall
@@ -90,8 +107,10 @@ def base_fails(n_words: int, n_repeat_words: int) -> bool:
 
 def script_of(text: str) -> str:
     if not beyond_latin(text):
-        return "Latin" if any(map(str.isalpha, text)) else "other"
+        return "Latin" if any(map(str.isalpha, text)) else "none"
     n = len(LETTERS(text))
+    if not n:
+        return "none"
     if 2 * len(LATIN(text)) >= n > 0:
         return "Latin"
     for name, find in SCRIPTS.items():
@@ -150,15 +169,19 @@ def loaded(model: bytes) -> Fertility:
     return _loaded[key]
 
 
-def within(script: str, tokens: int, chars_per_token: float, byte_share: float, entropy: float, bands: dict[str, Band]) -> bool:
-    band = bands.get(script, bands["other"])
-    return band.least_chars_per_token <= chars_per_token <= band.most_chars_per_token and byte_share <= band.most_byte_share and (tokens < ENTROPY_FROM or entropy >= band.least_entropy)
+def within(script: str, tokens: int, chars_per_token: float, byte_share: float, entropy: float, bands: dict[str, Band], lang: str | None = None) -> bool:
+    band = bands[lang] if script == "Latin" and lang in bands else bands.get(script, bands["other"])
+    if not (band.least_chars_per_token <= chars_per_token <= band.most_chars_per_token and byte_share <= band.most_byte_share):
+        return False
+    at = min((tokens // ENTROPY_FROM).bit_length(), len(band.least_entropy)) - 1
+    return at < 0 or entropy >= band.least_entropy[at]
 
 
-def with_measures(df: DataFrame, vocabulary_path: str, text: str = "text", into: str = "fertility", bands: dict[str, Band] | None = None) -> DataFrame:
+def with_measures(df: DataFrame, vocabulary_path: str, text: str = "text", into: str = "fertility", bands: dict[str, Band] | None = None, lang: str | None = None) -> DataFrame:
     """df with a struct column `into`: the five base measures, script, n_tokens, chars_per_token,
     byte_share, token_entropy, base_failed and kept.
 
+    `lang` names the column of the language, if there is one; where it is null or has no band, the script decides.
     A null text counts as empty: no words, so it fails the base rules. Rows and other columns stay; a
     column named as `into` is replaced. The vocabulary (a file of fixed size) is read on the driver and
     broadcast."""
@@ -168,25 +191,25 @@ def with_measures(df: DataFrame, vocabulary_path: str, text: str = "text", into:
     names = [*BASE, "script", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "base_failed", "kept"]
 
     @F.pandas_udf(", ".join(f"{n} long" for n in BASE) + ", script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double, base_failed boolean, kept boolean")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         fertility = loaded(shared.value)
-        for batch in texts:
+        for batch, langs in texts:
             rows = []
-            for t in batch:
+            for t, la in zip(batch, langs):
                 t = t or ""
                 words = find_words(t)
                 base = base_measures(t, words)
                 own = fertility.measures(words, base[1])
                 script, failed = script_of(t), base_fails(base[0], base[4])
-                rows.append((*base, script, *own, failed, not failed and within(script, *own, bands)))
+                rows.append((*base, script, *own, failed, not failed and within(script, *own, bands, la)))
             yield pd.DataFrame(rows, columns=names)
 
-    return df.withColumn(into, run(F.col(f"`{text}`")))
+    return df.withColumn(into, run(F.col(f"`{text}`"), F.col(f"`{lang}`") if lang else F.lit(None).cast("string")))
 
 
 def op9(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, the base measures, base_failed, kept, and the fertility measures, of every document."""
-    own = docs.select("doc_id", "text")
+    own = docs.select("doc_id", "text", "lang")
     into = fresh_name(own, "fertility")
-    out = with_measures(own, vocabulary_path, into=into)
+    out = with_measures(own, vocabulary_path, into=into, lang="lang")
     return out.select("doc_id", *(f"{into}.{n}" for n in (*BASE, "base_failed", "kept", "script", "n_tokens", "chars_per_token", "byte_share", "token_entropy")))

@@ -396,6 +396,19 @@ def test_op9_bands(table):
     assert fertility.op9(table([]), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_op9_rejects_junk_that_passes_the_base_rules(spark, table):
+    d, path = "/root/testdata/sf0.01", public_tokenizers.path("piece_bpe_32k.model")
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    own = [(marks[r.doc_id], r.kept) for r in fertility.op9(spark.read.parquet(f"{d}/documents.parquet"), path).where("not base_failed").collect() if r.doc_id in marks]
+    good, bad = [k for q, k in own if q == 1], [k for q, k in own if q == 0]
+    assert len(bad) > 10 and np.mean(bad) < 0.15 and np.mean(good) > 0.95
+    private = " ".join(chr(0xE000 + i) + chr(0xE100 + i) for i in range(80))
+    numbers = " ".join(str(7919 * i % 10007) for i in range(80))
+    arabic = " ".join("".join(chr(0x0627 + (7919 * i * k) % 10007 % 20) for k in range(1, 6)) for i in range(80))
+    got = by_id(fertility.op9(table([private, numbers, arabic], langs=[None, None, "ar"]), path))
+    assert [got[i][0].kept for i in range(3)] == [False, True, True] and [got[i][0].script for i in range(3)] == ["none", "none", "other"]
+
+
 # 10 --------------------------------------------------------------------------------------------------
 
 
