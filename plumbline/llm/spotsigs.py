@@ -1,7 +1,7 @@
 """Document fingerprints by SpotSigs.
 
 Common words are anchors. An anchor with the chain of content words that follows it is a spot signature; the set of a
-text's signatures, hashed, is its fingerprint. Sets are compared by their Jaccard similarity. For near duplicates,
+text's signatures, hashed, is its fingerprint. In a text without anchors, chains start at every word. Sets are compared by their Jaccard similarity. For near duplicates,
 sets are partitioned by length, so that only neighbouring partitions can hold partners, and only pairs that share
 one of their rarest signatures are compared.
 
@@ -29,9 +29,29 @@ CHAIN = 2
 REACH = 2
 
 
+def chains(words: Column) -> Column:
+    """array<long>: the hash of each word with the CHAIN words after it; of fewer words than that, of all of them."""
+    at = F.sequence(F.lit(0), F.greatest(F.size(words) - CHAIN - 1, F.lit(0)))
+    return F.transform(at, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(CHAIN + 1))))
+
+
+def told_by_count(hashes: Column) -> Column:
+    """array<long>: the distinct hashes. One that fills a 16th of the places, four at least, is told by the number of bits of its
+    count too, so that a page of one repeated word is no copy of a much shorter one."""
+
+    def runs(s: Column) -> Column:
+        def one(p: Column, n: Column) -> Column:
+            return F.when((n >= 4) & (n * 16 >= F.size(s)), F.xxhash64(F.get(s, p), F.length(F.bin(n)))).otherwise(F.get(s, p))
+
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda st: F.transform(st, lambda p, j: one(p, F.coalesce(F.get(st, j + 1), F.size(s)) - p)))
+
+    return let(F.array_sort(hashes), runs)
+
+
 def signatures(text: Column) -> Column:
-    """array<long>: the distinct hashes of the text's spot signatures, sorted. A text without anchors has one
-    signature, that of all its words, so equal texts are equal and others are not alike for lack of anchors."""
+    """array<long>: the distinct hashes of the text's spot signatures, sorted. A text without anchors has chains of words at every
+    position instead, so that a changed word costs it a few signatures. An empty text has one signature."""
     words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
     marked = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), f" ({'|'.join(sorted(ANCHORS, key=len, reverse=True))})(?= )", "\x01$1\x02")
 
@@ -49,7 +69,8 @@ def signatures(text: Column) -> Column:
             return let(content, hashed)
 
         found = let(F.split(marked, "\x01"), lambda p: let(F.slice(p, F.lit(2), F.size(p) - 1), of))
-        return F.when(F.contains(marked, F.lit("\x01")), F.array_sort(F.array_distinct(found))).otherwise(F.array(F.xxhash64(F.trim(marked))))
+        every = told_by_count(let(F.split(F.trim(marked), " "), chains))
+        return F.array_sort(F.array_distinct(F.when(F.contains(marked, F.lit("\x01")), found).otherwise(every)))
 
     return let(marked, spots)
 

@@ -87,6 +87,16 @@ def test_op1_near_duplicates(table, rows):
     assert {r.doc_id: r.representative for r in members.collect()} == {i: reps[spots(t or "")] for i, t in enumerate(texts)}
 
 
+def test_op1_texts_without_anchors(table):
+    words = [f"slovo{i * 7919 % 10007}" for i in range(300)]
+    texts = [" ".join(w) for w in (words, [*words[:150], "jinak", *words[151:]], words[::-1], ["ano"] * 900, ["ano"] * 90, ["ano"] * 900)]
+    got = by_id(spotsigs.op1(table(texts)))
+    assert got[0][0].near_edited > 0.4 and got[0][0].near_next == pytest.approx(295 / 301)
+    assert [got[i][0].near_next for i in (1, 2, 3, 4)] == [0, 0, 0, 0] and got[3][0].fingerprint == got[5][0].fingerprint
+    pairs, members = spotsigs.near_duplicates(table(texts))
+    assert {(r.a, r.b) for r in pairs.collect()} == {(0, 1)} and {r.doc_id: r.representative for r in members.collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
 def test_op1_edges(table):
     assert spotsigs.op1(table([])).count() == 0
     assert spotsigs.op1(table(["a", "a", "b"], [1, 1, None])).count() == 3
