@@ -188,7 +188,7 @@ def signatures(s: np.ndarray, own: int, bands: Bands) -> tuple[np.ndarray, np.nd
 
 
 def slim_sets(docs: DataFrame, n: int, seed: int) -> DataFrame:
-    """docs (row, t) as row, n_shingles, node, second."""
+    """docs (row, t and others) without t, with n_shingles, node, second."""
 
     @F.pandas_udf("n_shingles long, node long, second long")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -196,7 +196,7 @@ def slim_sets(docs: DataFrame, n: int, seed: int) -> DataFrame:
             sets = (shingle_set(t, n, seed) for t in batch)
             yield pd.DataFrame([(len(s), *record_id(s)) for s in sets], columns=["n_shingles", "node", "second"])
 
-    return docs.withColumn("s", run("t")).select("row", "s.*")
+    return docs.withColumn("s", run("t")).drop("t").select("*", "s.*").drop("s")
 
 
 def signature_rows(docs: DataFrame, parts: int, n: int, seed: int, bands: Bands) -> DataFrame:
@@ -368,8 +368,14 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     Null, empty and blank texts have an empty set, no links and themselves as component. Rows with a null id are
     in the component of their set, but are never its id. Repeated rows are documents of their own. Ties take the least id.
     """
+    out = labelled(df.select(F.col(f"`{doc_id}`").cast("long").alias("row"), F.col(f"`{text}`").alias("t")), n, num, den)
+    return out.select("row", F.struct("n_shingles", "node", F.coalesce("component_id", "row").alias("component_id")).alias(into))
+
+
+def labelled(base: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """base (row, t and others) without t, with n_shingles, node, component_id (null where no row has an id) and comp, equal for the rows
+    of a component. The last two are null for empty sets."""
     seed = 0
-    base = df.select(F.col(f"`{doc_id}`").cast("long").alias("row"), F.col(f"`{text}`").alias("t"))
     bands = bands_for(num, den)
     while True:
         slim = written(slim_sets(base, n, seed), "sets")
@@ -418,10 +424,10 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     labels = components(links)
     full = nodes.select("node", "rep").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = full.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = written(full.join(least, "comp").select("node", "component_id"), "named")
+    named = written(full.join(least, "comp").select("node", "component_id", "comp"), "named")
     out = slim.join(named, "node", "left")
     discard(sets), discard(found)
-    return out.select("row", F.struct("n_shingles", "node", F.coalesce("component_id", "row").alias("component_id")).alias(into))
+    return out
 
 
 def op2(docs: DataFrame) -> DataFrame:
@@ -430,17 +436,19 @@ def op2(docs: DataFrame) -> DataFrame:
     return out.select(F.col("row").alias("doc_id"), "near.n_shingles", "near.component_id")
 
 
-def one_of_each(docs: DataFrame, **params) -> DataFrame:
-    """docs with one document of each component, that with the least id; documents without shingles stay. Of repeated rows with that
-    id one stays, the one with the least text."""
-    near = jaccard_components(docs, **params)
-    kept = written(near.where("row = near.component_id and near.n_shingles > 0").groupBy("row").agg(F.min("near.node").alias("node")), "kept").select(F.col("row").alias("kept_row"))
-    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    mark = fresh_name(docs, "blank")
-    marked = docs.withColumn(mark, blank)
-    full = marked.where(~F.col(mark)).join(kept, F.col("doc_id").cast("long") == F.col("kept_row")).drop("kept_row", mark)
-    once = full.dropDuplicates(["doc_id"])
-    return once.select(docs.columns).unionByName(marked.where(F.col(mark)).select(docs.columns))
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **params) -> DataFrame:
+    """docs with one document of each component; documents without shingles stay. It is the one with the least id, null ids last; of rows
+    with that id (or of null ids) the one with the least MD5 of id and text. Texts that aren't near copies each keep a row, whatever their ids."""
+    key = fresh_name(docs, "key")
+    row, t = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")
+    # known for every row, null ids too: a digest of id and text
+    marked = docs.withColumn(key, F.unhex(F.md5(F.concat(F.coalesce(row.cast("string"), F.lit("")), F.lit("|"), F.coalesce(t, F.lit(""))).cast("binary"))))
+    near = labelled(marked.select(row.alias("row"), t.alias("t"), F.col(key).alias("key")), **params)
+    first = F.min(F.struct(F.col("row").isNull().alias("nameless"), "row", "key")).alias("first")
+    kept = written(near.where("n_shingles > 0").groupBy("comp").agg(first).select(F.col("first.key").alias(key)), "kept")
+    blank = ~F.coalesce(t, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    once = marked.where(~blank).join(kept, key).dropDuplicates([key])
+    return once.select(docs.columns).unionByName(docs.where(blank))
 
 
 #: DuckDB's SQL for op2.

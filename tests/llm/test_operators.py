@@ -175,6 +175,16 @@ def test_op2_edges(table):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 7, 8] and len(kept.columns) == 9
 
 
+def test_one_of_each_keeps_a_row_of_every_component(table):
+    word = [f"w{i}" for i in range(100)]
+    a, b, c = " ".join(word[:40]), " ".join(word[40:70]), " ".join(word[70:])
+    texts, ids = [a, a + " more", b, c, c, "only here", None, c], [3, 5, 5, None, None, None, None, 8]
+    kept = [(r.doc_id, r.text) for r in setjoin.one_of_each(table(texts, ids)).collect()]
+    assert sorted(kept, key=str) == sorted([(3, a), (5, b), (8, c), (None, "only here"), (None, None)], key=str)
+    kept = [(r.doc_id, r.text) for r in setjoin.one_of_each(table([a, b, b, c], [7, 7, 7, 7])).collect()]
+    assert sorted(kept) == sorted([(7, a), (7, b), (7, c)])
+
+
 # 3 ---------------------------------------------------------------------------------------------------
 
 
