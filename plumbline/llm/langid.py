@@ -202,7 +202,11 @@ def op4(docs: DataFrame, **params) -> DataFrame:
 
 def without_rejected(docs: DataFrame, least: float = 0.4, **params) -> DataFrame:
     """The documents whose language is told: those that are und, or whose best language has a
-    probability under `least`, go. The columns are those of docs."""
+    probability under `least`, go. Without a model (nothing to learn from) only null texts and texts without a letter go. The columns
+    are those of docs."""
     into = fresh_name(docs, "language")
-    out = with_language(docs, fit(docs, **params), into=into)
+    model = fit(docs, **params)
+    if model is None:
+        return docs.where(F.coalesce(F.col(f"`{params.get('text', 'text')}`"), F.lit("")).rlike(r"\p{L}"))
+    out = with_language(docs, model, into=into)
     return out.where((F.col(f"{into}.lang") != UNKNOWN) & (F.col(f"{into}.score") >= least)).select(docs.columns)

@@ -229,6 +229,11 @@ def test_op4_edges(table):
     assert [r.doc_id for r in kept.collect()] == [0] and "language" in kept.columns
 
 
+def test_without_rejected_keeps_texts_where_nothing_can_be_learned(table):
+    kept = langid.without_rejected(table(["a", "漢字", None, "12", ""], langs=[None] * 5))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1] and "language" in kept.columns
+
+
 def test_op4_windows_cover_the_whole_text():
     model = langid.train(["abab " * 50, "xyxy " * 50], ["a", "x"], length=32, steps=200)
     (_, few), (lang, score) = model.tables().predict(["xyxy " * 3, "abab " * 2 + "xyxy " * 200])
