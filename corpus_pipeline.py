@@ -32,9 +32,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, ids, n_tokens and ids_sha256; texts decode from the ids."""
+    """doc_id, source, lang, ids, n_tokens, ids_sha256 and decoded_sha256, that of the text decoded from the ids."""
     out = bpe.with_tokens(docs.select("doc_id", "source", "lang", "text"), vocabulary("byte_bpe_50k.json"), into="bpe", decoded=False)
-    return out.select("doc_id", "source", "lang", F.col("bpe.ids").alias("ids"), F.col("bpe.n_tokens").alias("n_tokens"), F.col("bpe.ids_sha256").alias("ids_sha256"))
+    return out.select("doc_id", "source", "lang", F.col("bpe.ids").alias("ids"), F.col("bpe.n_tokens").alias("n_tokens"), F.col("bpe.ids_sha256").alias("ids_sha256"), F.col("bpe.decoded_sha256").alias("decoded_sha256"))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mix", mix), ("encode", encode)]

@@ -1,6 +1,9 @@
 """The stages one by one, each on its own input."""
 
+import hashlib
+
 import corpus_pipeline
+import public_tokenizers
 
 
 def test_stages(spark):
@@ -14,3 +17,19 @@ def test_stages(spark):
             assert docs.columns == columns
     assert sizes[1] >= 0.95 * sizes[0] and sizes[2] < sizes[1] and sizes[3] == sizes[2] and sizes[5] == sizes[4]
     assert all(len(r.ids) == r.n_tokens for r in docs.limit(20).collect())
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    """No languages are known and one source is due each document once, so what is left is one of each, redacted, encoded and decoded."""
+    from tokenizers import Tokenizer
+
+    word = [f"w{i}" for i in range(60)]
+    texts = [" ".join(word), " ".join(word) + " end", "mail a@b.co of é 漢字 now", "mail a@b.co of é 漢字 now", "12 34", None, "another one"]
+    rows = [(i, t, None, "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    library, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}
+    for i, t in {0: texts[0], 2: "mail [EMAIL] of é 漢字 now", 6: texts[6]}.items():
+        ids = library.encode(t, add_special_tokens=False).ids
+        want[i] = (ids, len(ids), hashlib.sha256(t.encode()).hexdigest())
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(got) == 3 and {r.doc_id: (list(r.ids), r.n_tokens, r.decoded_sha256) for r in got} == want
