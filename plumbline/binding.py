@@ -9,8 +9,13 @@ from dataclasses import dataclass, replace
 from plumbline.functions.text import UUID
 from plumbline.model import AMEND, POST, PRE, Binding, BoundParam, Param, Review, Rule, Test
 
-#: Results that a COUNT measure's label may name, the longest first.
-COUNTED = ("POTENTIAL_ISSUE", "NOT_COMPLIANT", "COMPLIANT", "NOT_COMPLETE", "COMPLETE", "NOT_ISSUE", "IS_ISSUE")
+#: What a COUNT measure's label may name.
+COUNTED = (
+    "EXTERNAL_PREREQUISITES_NOT_MET", "INTERNAL_PREREQUISITES_NOT_MET", "NOT_COMPLIANT", "NOT_COMPLETE", "NOT_AMENDED",
+    "COMPLIANT", "COMPLETE", "AMENDED", "FILLED_IN",
+)
+#: Results of issues, which labels may name here too.
+COUNTED_ISSUES = ("POTENTIAL_ISSUE", "NOT_ISSUE", "IS_ISSUE")
 
 
 def normalized(id: str | None) -> str | None:
@@ -58,12 +63,12 @@ def measure_of(test: Test) -> Measure | None:
     if test.type != "MEASURE":
         return None
     text, label = test.metadata.get("expectedResponse", ""), (test.label or "").strip()
-    if m := re.search(r"count the number of\s+([A-Z0-9_]+).*?response\.result\s*=\s*\"?([A-Z_]+)", text, re.I | re.S):
-        return Measure("COUNT", m[1].upper(), result=m[2].upper())
     if label.startswith("MULTIRECORD_MEASURE_COUNT_"):
+        if m := re.search(r"count\s+the\s+number\s+of\s+([A-Z0-9_]+).*?response\.result\s*=\s*\"?([A-Z_]+)", text, re.I):
+            return Measure("COUNT", m[1].upper(), result=m[2].upper())
         rest = label.removeprefix("MULTIRECORD_MEASURE_COUNT_")
-        for r in COUNTED:
-            if rest.startswith(r + "_"):
+        for r in (*COUNTED, *COUNTED_ISSUES):
+            if rest.startswith(r + "_") and len(rest) > len(r) + 1:
                 return Measure("COUNT", "VALIDATION_" + rest.removeprefix(r + "_"), result=r)
         return None
     if label.startswith("MULTIRECORD_MEASURE_QA_"):
@@ -101,6 +106,23 @@ def candidates(test: Test, rules: Sequence[Rule], explicit: Mapping[str, str]) -
     return [], []
 
 
+def matches(test_id: str, rule: Rule) -> bool:
+    """Whether a rule is for a test, in any of these ways."""
+    own = normalized(test_id)
+    return bool(own) and (normalized(rule.version) == own or normalized(rule.provides) in (own, uuid_of(own)))
+
+
+def parameters_text(values: Mapping[str, str]) -> str:
+    """Values as `k=v; k2=v2`, sorted."""
+    return "; ".join(sorted(f"{k}={v}" for k, v in values.items()))
+
+
+def parameters_from(text: str) -> dict[str, str]:
+    """The values of such a text. What has no = is a name with an empty value."""
+    parts = (x.strip() for x in text.split(";"))
+    return {k.strip(): v.strip() for k, _, v in (x.partition("=") for x in parts if x)}
+
+
 def choose(found: Sequence[Rule], values: Mapping[str, str]) -> tuple[Rule | None, str, str | None]:
     """Rule, implementation status and capability. Given values ask for a rule with parameters, none for one without; of several the
     first by class and method."""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EDGES = r"^[\x00-\x20]+|[\x00-\x20]+$"
+#: Characters that trimming takes off.
+EDGES = "".join(map(chr, range(33)))
 UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 
 
@@ -14,7 +15,7 @@ def col(c: Column | str) -> Column:
 
 
 def trim(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), EDGES, "")
+    return F.btrim(col(c), F.lit(EDGES))
 
 
 def is_blank(c: Column | str) -> Column:
@@ -133,6 +134,12 @@ def map_difference(before: Column | str, after: Column | str) -> Column:
     return F.map_filter(col(after), lambda k, v: ~v.eqNullSafe(F.element_at(col(before), k)))
 
 
+def structured_response(status: Column | str, result: Column | str) -> Column:
+    """`status / result`, or the one that isn't blank; null where both are."""
+    s, r = (F.when(~is_blank(c), col(c)) for c in (status, result))
+    return F.nullif(F.concat_ws(" / ", s, r), F.lit(""))
+
+
 def tsv_cell(c: Column | str) -> Column:
     return F.coalesce(F.translate(col(c).cast("string"), "\t\n", "  "), F.lit(""))
 

@@ -9,7 +9,8 @@ the same fields share the distinct and the join. An amendment rewrites columns t
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -173,17 +174,23 @@ def with_outputs(records: DataFrame, bindings: Sequence[Binding], dedup: bool =
     return out, names
 
 
-def response(b: Binding, out: Column, phase: str) -> Column:
+def response(b: Binding, out: Column, phase: str, columns: Sequence[str] | None = None) -> Column:
+    """A row of responses, or those of its columns that are named."""
     status, result, comment, amend, error = (out[k] for k in ("status", "result", "comment", "amendments", "error"))
     given = {x.param.source: x.value for x in b.params if x.value is not None} | dict(b.test.parameters)
     text = lambda x: F.lit(x).cast("string")
     now = F.current_timestamp()
-    return F.struct(
+    every = (
         text(b.test.id).alias("test_id"), text(b.type).alias("test_type"), text(b.rule.cls).alias("implementation_class"), text(b.rule.method).alias("implementation_method"),
         text(phase).alias("phase"), F.lit(PHASES.index(phase)).alias("phase_ord"), map_literal(given).alias("parameters"),
         outcome(status, result, amend, phase).alias("status"), status.alias("response_status"), result.alias("response_result"), comment.alias("comment"),
         message(comment, status, result, error).alias("message"), F.coalesce(amend, F.create_map().cast(NO_MAP)).alias("amendments"), now.alias("started_at"), now.alias("finished_at"),
     )
+    return F.struct(*(c for name, c in zip(FIELDS, every) if columns is None or name in columns))
+
+
+#: Columns of a response that its rule gives; record_ord and record_id come from the record.
+FIELDS = tuple(x.split()[0] for x in RESPONSE_SCHEMA.split(", "))[2:]
 
 
 def responses_of(evaluated: DataFrame, bindings: Sequence[Binding], names: dict[int, str], phase: str) -> DataFrame:
@@ -191,6 +198,64 @@ def responses_of(evaluated: DataFrame, bindings: Sequence[Binding], names: dict[
     return evaluated.select("record_ord", "record_id", F.inline(rows))
 
 
+@dataclass(frozen=True)
+class Evaluated:
+    """Records with the output of every rule of some phases as a column of its own, and with the terms as the amendments
+    leave them: one scan, whatever is then taken from it."""
+
+    df: DataFrame
+    outputs: tuple[tuple[str, Binding, str], ...]
+
+    def responses(self, columns: Sequence[str] | None = None) -> DataFrame:
+        """A row for each record, phase and binding."""
+        own = [k for k in KEYS if columns is None or k in columns]
+        if not self.outputs:
+            return no_responses(self.df).select(*(columns or "*"))
+        rows = F.array(*(response(b, F.col(name), phase, columns) for phase, b, name in self.outputs))
+        out = self.df.select(*own, F.inline(rows))
+        return out if columns is None else out.select(*columns)
+
+    def amended(self) -> DataFrame:
+        return self.df.drop(*(name for _, _, name in self.outputs))
+
+
+def evaluate(records: DataFrame, bindings: Sequence[Binding], dedup: bool = True, phases: Sequence[str] = PHASES, wanted: Callable[[Binding], bool] = lambda b: True) -> Evaluated:
+    """Runs the rules of the phases that `wanted` asks for. Amendments run as far as a later rule may read what they wrote."""
+    direct, now, outputs = [b for b in bindings if b.measure is None], records, []
+
+    def add(phase: str, own: Sequence[Binding]) -> dict[int, str]:
+        nonlocal now
+        evaluated, names = with_outputs(now, own, dedup)
+        renamed = {n: f"__{phase}_{len(outputs) + i}" for i, n in names.items()}
+        now = evaluated.withColumnsRenamed(renamed)
+        outputs.extend((phase, b, renamed[names[i]]) for i, b in enumerate(own))
+        return {i: renamed[n] for i, n in names.items()}
+
+    if PRE in phases:
+        add(PRE, [b for b in for_phase(direct, PRE) if wanted(b)])
+    amendments = for_phase(direct, AMEND)
+    if POST not in phases:
+        last = max((i for i, b in enumerate(amendments) if wanted(b)), default=-1)
+        amendments = amendments[: last + 1]
+    if AMEND in phases or POST in phases:
+        for b in amendments:
+            name = add(AMEND, [b])[0]
+            now = now.withColumns(amended_terms(now, b, F.col(name)["amendments"]))
+    if POST in phases:
+        add(POST, [b for b in for_phase(direct, POST) if wanted(b)])
+    return Evaluated(now, tuple(o for o in outputs if o[0] in phases and wanted(o[1])))
+
+
+def amended_terms(records: DataFrame, b: Binding, made: Column) -> dict[str, Column]:
+    """The terms that an amendment may write, with what it proposes in place of what was there."""
+    changed = {}
+    for t in b.rule.writes:
+        column = next((x.column for x in b.params if x.param.source == t and x.column), t)
+        old = F.col(f"`{column}`") if column in records.columns else F.lit(None).cast("string")
+        changed[column] = F.coalesce(F.try_element_at(made, F.lit(column)), F.try_element_at(made, F.lit(t)), old)
+    return changed
+
+
 def no_responses(records: DataFrame) -> DataFrame:
     return records.sparkSession.createDataFrame([], RESPONSE_SCHEMA)
 
@@ -208,29 +273,14 @@ def amend(records: DataFrame, bindings: Sequence[Binding], dedup: bool = True) -
     a term that no record has becomes a column. Each amendment's output is a column of its own, so nothing is evaluated twice."""
     if not bindings:
         return no_responses(records), records
-    now, names = records, {}
-    for i, b in enumerate(bindings):
-        evaluated, one = with_outputs(now, [b], dedup)
-        names[i] = f"__done_{i}"
-        now = evaluated.withColumnRenamed(one[0], names[i])
-        made = F.col(names[i])["amendments"]
-        changed = {}
-        for t in b.rule.writes:
-            column = next((x.column for x in b.params if x.param.source == t and x.column), t)
-            old = F.col(f"`{column}`") if column in now.columns else F.lit(None).cast("string")
-            changed[column] = F.coalesce(F.try_element_at(made, F.lit(column)), F.try_element_at(made, F.lit(t)), old)
-        now = now.withColumns(changed)
-    responses = responses_of(now, bindings, names, AMEND)
-    return responses, now.drop(*names.values())
+    done = evaluate(records, [b for b in bindings if b.measure is None], dedup, (AMEND,))
+    return done.responses(), done.amended()
 
 
 def run_phases(records: DataFrame, bindings: Sequence[Binding], dedup: bool = True) -> dict[str, DataFrame]:
-    """Responses of the rules by phase (measures are taken apart), and the amended records."""
-    direct = [b for b in bindings if b.measure is None]
-    pre = validate(records, for_phase(direct, PRE), PRE, dedup)
-    amending, amended = amend(records, for_phase(direct, AMEND), dedup)
-    post = validate(amended, for_phase(direct, POST), POST, dedup)
-    return {PRE: pre, AMEND: amending, POST: post, "amended": amended}
+    """Responses of the rules by phase (measures are taken apart), and the amended records, each with the rules that it needs."""
+    out = {phase: evaluate(records, bindings, dedup, (phase,)).responses() for phase in PHASES}
+    return out | {"amended": evaluate(records, bindings, dedup, (AMEND,)).amended()}
 
 
 def ordered(responses: DataFrame) -> DataFrame:

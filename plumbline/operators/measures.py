@@ -1,32 +1,28 @@
-"""Measures over all records: COUNT and QA, as one aggregate of the phase's responses each."""
+"""Measures over all records, COUNT and QA: all of a run's are one aggregate."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import percent
 from plumbline.model import MULTIRECORD, PHASES, Binding
+from plumbline.operators.execute import Evaluated
 
 
-def tally(responses: DataFrame, b: Binding, strict: bool = False) -> DataFrame:
-    """One row: eligible (responses of the target), matching, and has_null (a result that strict runs fail on)."""
+def hit(b: Binding, status: Column, result: Column) -> Column:
+    """Whether a response of the target counts."""
     m = b.measure
-    result, status = F.col("response_result"), F.col("response_status")
-    hit = F.coalesce(result == m.result, F.lit(False)) if m.kind == "COUNT" else F.coalesce(result.isin(*m.results), F.lit(False)) | F.coalesce(status.isin(*m.statuses), F.lit(False))
-    null = F.coalesce(F.bool_or(result.isNull()), F.lit(False)) if strict and m.kind == "QA" else F.lit(False)
-    return responses.where(F.col("test_id") == m.target_id).agg(F.count(F.lit(1)).alias("eligible"), F.count_if(hit).alias("matching"), null.alias("has_null"))
+    if m.kind == "COUNT":
+        return F.coalesce(result == m.result, F.lit(False))
+    return F.coalesce(result.isin(*m.results), F.lit(False)) | F.coalesce(status.isin(*m.statuses), F.lit(False))
 
 
-def measure(responses: DataFrame, records: DataFrame, b: Binding, phase: str, strict: bool = False) -> DataFrame:
-    """The response row of a measure. A QA measure of a target without responses is COMPLETE."""
+def row(b: Binding, phase: str, eligible: Column, matching: Column, total: Column, failed: Column) -> Column:
+    """The response of a measure. A QA measure of a target without responses is COMPLETE."""
     m = b.measure
-    total = records.agg(F.count(F.lit(1)).alias("total"))
-    one = tally(responses, b, strict).crossJoin(F.broadcast(total))  # one row each
-    eligible, matching, total = F.col("eligible"), F.col("matching"), F.col("total")
-    failed = F.col("has_null")
     if m.kind == "COUNT":
         result, status = matching.cast("string"), F.lit("PASSED")
         told = F.format_string(f"%d/%d records matched {m.result} for {m.target_label} (%.1f%%)", matching, total, percent(matching, total))
@@ -41,7 +37,7 @@ def measure(responses: DataFrame, records: DataFrame, b: Binding, phase: str, st
     )
     text = lambda x: F.lit(x).cast("string")
     now = F.current_timestamp()
-    return one.select(
+    return F.struct(
         F.lit(None).cast("long").alias("record_ord"), text(MULTIRECORD).alias("record_id"), text(b.test.id).alias("test_id"), text("MEASURE").alias("test_type"),
         text("plumbline.operators.measures").alias("implementation_class"), text(m.kind.lower()).alias("implementation_method"), text(phase).alias("phase"), F.lit(PHASES.index(phase)).alias("phase_ord"),
         parameters.alias("parameters"), F.when(failed, "ERROR").otherwise(status).alias("status"), F.when(failed, "ERROR").otherwise("RUN_HAS_RESULT").alias("response_status"),
@@ -50,9 +46,36 @@ def measure(responses: DataFrame, records: DataFrame, b: Binding, phase: str, st
     )
 
 
+def rows(one: DataFrame, due: Sequence[tuple[str, Binding]]) -> DataFrame:
+    """From one row with total and, for each measure due, e_i, m_i and f_i (whether it failed): its responses, in order."""
+    return one.select(F.inline(F.array(*(row(b, phase, F.col(f"e_{i}"), F.col(f"m_{i}"), F.col("total"), F.col(f"f_{i}")) for i, (phase, b) in enumerate(due)))))
+
+
+def missing(b: Binding, result: Column, strict: bool) -> Column:
+    """Of a strict run's QA measure: whether a response has no result."""
+    return result.isNull() if strict and b.measure.kind == "QA" else F.lit(False)
+
+
 def measures(responses: DataFrame, records: DataFrame, bindings: Sequence[Binding], phase: str, strict: bool = False) -> DataFrame | None:
-    out = None
-    for b in bindings:
-        one = measure(responses, records, b, phase, strict)
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Measures of a phase from its table of responses."""
+    if not bindings:
+        return None
+    status, result = F.col("response_status"), F.col("response_result")
+    aggs = []
+    for i, b in enumerate(bindings):
+        own = F.col("test_id") == b.measure.target_id
+        aggs += [F.count_if(own).alias(f"e_{i}"), F.count_if(own & hit(b, status, result)).alias(f"m_{i}"), F.coalesce(F.bool_or(own & missing(b, result, strict)), F.lit(False)).alias(f"f_{i}")]
+    total = records.agg(F.count(F.lit(1)).alias("total"))
+    return rows(responses.agg(*aggs).crossJoin(F.broadcast(total)), [(phase, b) for b in bindings])  # one row each
+
+
+def measures_of(done: Evaluated, due: Sequence[tuple[str, Binding]], strict: bool = False) -> DataFrame | None:
+    """Measures (phase, binding) of evaluated records: one scan, on the rules' outputs before they are rows."""
+    if not due:
+        return None
+    aggs = [F.count(F.lit(1)).alias("total")]
+    for i, (phase, b) in enumerate(due):
+        targets = [F.col(name) for at, own, name in done.outputs if at == phase and own.test.id == b.measure.target_id]
+        count = lambda use: sum((F.count_if(use(t["status"], t["result"])) for t in targets), F.lit(0))  # noqa: B023, E731
+        aggs += [(F.count(F.lit(1)) * len(targets)).alias(f"e_{i}"), count(lambda s, r: hit(b, s, r)).alias(f"m_{i}"), (count(lambda s, r: missing(b, r, strict)) > 0).alias(f"f_{i}")]  # noqa: B023
+    return rows(done.df.agg(*aggs), due)

@@ -83,10 +83,10 @@ def amended_pairs(r: DataFrame, source: DataFrame, terms: list[str]) -> DataFram
 
 
 def measure_pivot(r: DataFrame) -> DataFrame:
-    """test_id with the last result of each phase."""
+    """test_id with its result in each phase; a phase has one row for a measure."""
     own = multirecord_measures(r)
-    last = lambda p: F.max_by(F.when(F.col("phase") == p, F.col("response_result")), F.when(F.col("phase") == p, F.col("finished_at")))
-    return own.groupBy("test_id").agg(last("PRE_AMENDMENT").alias("pre_amendment"), last("POST_AMENDMENT").alias("post_amendment"))
+    result = lambda p: F.max(F.when(F.col("phase") == p, F.col("response_result")))
+    return own.groupBy("test_id").agg(result("PRE_AMENDMENT").alias("pre_amendment"), result("POST_AMENDMENT").alias("post_amendment"))
 
 
 def outcome_tally(r: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.api import prepare, run, unresolved_rows
-from plumbline.binding import bind, column_for, for_phase, measure_of
+from plumbline.binding import COUNTED, bind, column_for, for_phase, measure_of
 from plumbline.model import AMEND, POST, PRE, Binding, BoundParam, Param, Rule, Test
 from plumbline.operators import execute, measures, summary
 from plumbline.operators.execute import output
@@ -184,7 +184,14 @@ def test_measure_specs():
     m = measure_of(Test("q", "MULTIRECORD_MEASURE_QA_X", "MEASURE", metadata={"expectedResponse": 'COMPLETE if every VALIDATION_Y in the MultiRecord has Response.result="COMPLIANT" or Response.status="INTERNAL_PREREQUISITES_NOT_MET"'}))
     assert (m.target_label, m.results, m.statuses) == ("VALIDATION_Y", ("COMPLIANT",), ("INTERNAL_PREREQUISITES_NOT_MET",))
     assert type(m).decoded(m.encoded()) == m
-    assert measure_of(Test("c", "x", "MEASURE", metadata={"expectedResponse": "Count the number of VALIDATION_Z where Response.result=NOT_COMPLIANT"})).result == "NOT_COMPLIANT"
+    told = {"expectedResponse": "Count the number of VALIDATION_Z where Response.result=NOT_COMPLIANT"}
+    m = measure_of(Test("c", "MULTIRECORD_MEASURE_COUNT_X", "MEASURE", metadata=told))
+    assert (m.target_label, m.result) == ("VALIDATION_Z", "NOT_COMPLIANT")
+    assert measure_of(Test("c", "x", "MEASURE", metadata=told)) is None  # the label makes it a measure of all records
+    for result in COUNTED:
+        m = measure_of(Test("c", f"MULTIRECORD_MEASURE_COUNT_{result}_X", "MEASURE"))
+        assert (m.result, m.target_label) == (result, "VALIDATION_X")
+    assert measure_of(Test("c", "MULTIRECORD_MEASURE_COUNT_AMENDED_", "MEASURE")) is None
     assert measure_of(Test("v", "MULTIRECORD_MEASURE_QA_X", "VALIDATION")) is None
 
 
@@ -231,3 +238,43 @@ def test_run_end_to_end(spark):
     assert again.binding("urn:rule:price").rule.method == "price_below"
     assert again.trace("urn:rule:price").count() == 2
     assert unresolved_rows(spark, bind([], [])).count() == 0
+
+
+def test_parameters_text_and_rebinding_with_a_mapping(spark):
+    from plumbline.binding import parameters_from, parameters_text
+
+    assert parameters_text({"b": "2", "a": "x=y"}) == "a=x=y; b=2" and parameters_from(" a = x=y ;; c ; b=2") == {"a": "x=y", "c": "", "b": "2"}
+    df = records(spark, [("r1", "1")], "o_totalprice")
+    made = prepare(spark, df, tests=[Test("urn:t", "T")], explicit={"urn:t": "rules.Orders#price_below"})
+    assert made.binding("urn:t").rule.method == "price_below"
+    again = made.with_parameters({"urn:t": {"useDefaults": False, "parameters": {"maxPrice": "0"}}})
+    assert again.binding("urn:t").rule.method == "price_below" and run(again).of(phase=PRE).first().response_result == "NOT_COMPLIANT"
+    # parameters that can be set: those of the chosen rule, else of the rules with parameters that match
+    assert [p.source for p in again.parameters_of("urn:t")] == ["maxPrice"]
+    plain = prepare(spark, df, tests=[Test("urn:rule:price", "T")])
+    assert plain.binding("urn:rule:price").rule.method == "price_in_range" and [p.source for p in plain.parameters_of("urn:rule:price")] == ["maxPrice"]
+
+
+def test_measures_of_outputs_equal_those_of_responses(spark):
+    """The aggregate on the rules' outputs and that on the table of responses."""
+    df = records(spark, [("r1", "F", "1-URGENT"), ("r2", "P", "4-NOT SPECIFIED"), ("r3", None, None)], "o_orderstatus", "o_orderpriority")
+    tests = [Test("urn:rule:orderstatus", "VALIDATION_O"), Test("urn:rule:priority", "VALIDATION_P"), Test("urn:rule:priorityname", "A", "AMENDMENT", AMEND)]
+    tests += [Test("c", "MULTIRECORD_MEASURE_COUNT_COMPLIANT_O", "MEASURE"), Test("q", "MULTIRECORD_MEASURE_QA_P", "MEASURE"), Test("n", "MULTIRECORD_MEASURE_COUNT_NOT_COMPLIANT_O", "MEASURE")]
+    done = run(prepare(spark, df, tests=tests), strict=True)
+    same = ["test_id", "phase", "status", "response_status", "response_result", "message"]
+    for phase in (PRE, POST):
+        own = [b for b in done.prepared.bound.bindings if b.measure is not None]
+        table = measures.measures(done.of(phase=phase, multirecord=False), df, own, phase, strict=True)
+        assert rows(table, *same) == rows(done.of(phase=phase, multirecord=True), *same) == rows(done.responses.where((F.col("phase") == phase) & (F.col("record_id") == "MULTIRECORD")), *same)
+
+
+def test_one_scan_for_rules_and_one_for_measures(spark, tmp_path):
+    df = records(spark, [("r1", "F", "1-URGENT")], "o_orderstatus", "o_orderpriority")
+    df.write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    tests = [Test("urn:rule:orderstatus", "VALIDATION_O"), Test("urn:rule:priorityname", "A", "AMENDMENT", AMEND), Test("c", "MULTIRECORD_MEASURE_COUNT_COMPLIANT_O", "MEASURE")]
+    done = run(prepare(spark, df, tests=tests))
+    scans = lambda x: x._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+    assert scans(done.responses) == 2 and scans(done.of(test_id="c")) == 1 and scans(done.of(phase=PRE, multirecord=False)) == 1
+    # a filter on a test leaves the other rules out of the plan
+    assert "priority" not in done.of(test_id="urn:rule:orderstatus", phase=PRE, multirecord=False, columns=["response_result"])._jdf.queryExecution().executedPlan().toString()
