@@ -1,12 +1,11 @@
-"""Joins and picks of the planning tables, and graph operators over triples (s, p, o)."""
+"""Picks by key, and graph operators over triples (s, p, o)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import text as fx
-from plumbline.model import BINDING_STATUSES
+from plumbline.operators.ranking import checkpoint_dir
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -19,55 +18,31 @@ def last_per(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def cascade_match(tests: DataFrame, provided: DataFrame) -> DataFrame:
-    """tests (t, id) and implementations (i, pid, ver): matches by version, else by id, else by the UUID in the id."""
-    t = tests.select("t", fx.normalize_id("id").alias("id"), F.regexp_extract("id", fx.UUID, 0).alias("u"))
-    p = provided.select("i", fx.normalize_id("pid").alias("pid"), fx.normalize_id("ver").alias("ver"))
-    by = [t.join(p, t["id"] == p["ver"]), t.join(p, t["id"] == p["pid"]), t.where("u != ''").join(p, t["u"] == p["pid"])]
-    hits = None
-    for k, x in enumerate(by, 1):
-        one = x.select("t", "i", F.lit(k).alias("matched_by"))
-        hits = one if hits is None else hits.unionByName(one)
-    best = hits.groupBy("t").agg(F.min("matched_by").alias("matched_by"))
-    return hits.join(best, ["t", "matched_by"]).select("t", "i", "matched_by")
-
-
-def alias_join(terms: DataFrame, columns: DataFrame) -> DataFrame:
-    """terms (term) with bound_column: the first column by name whose full or local name is the term's full name, else its local name."""
-    keys = columns.select("c", F.explode(F.array_distinct(F.array(fx.normalize_term("c"), fx.normalize_term(fx.local_name("c"))))).alias("k"))
-    wanted = terms.select("term", F.posexplode(F.array(fx.normalize_term("term"), fx.normalize_term(fx.local_name("term")))).alias("pass", "k"))
-    found = wanted.join(keys, "k").groupBy("term").agg(F.min(F.struct("pass", "c")).alias("best"))
-    return terms.join(found, "term", "left").select("term", F.col("best.c").alias("bound_column"))
-
-
-def worst_status(df: DataFrame) -> DataFrame:
-    order = F.array(*map(F.lit, BINDING_STATUSES))
-    return df.groupBy("t").agg(F.max(F.array_position(order, F.col("s"))).alias("k")).select("t", F.element_at(order, F.col("k").cast("int")).alias("status"))
-
-
-def uri_matches(uris: DataFrame) -> DataFrame:
-    """Pairs a < b of URIs (x) that have an equal candidate without scheme and final slash."""
-    keys = uris.select(fx.trim("x").alias("x"), F.explode(fx.uri_candidates("x")).alias("c")).select("x", fx.normalize_uri("c").alias("k")).distinct()
-    a, b = keys.select(F.col("x").alias("a"), "k"), keys.select(F.col("x").alias("b"), "k")
-    return a.join(b, "k").where("a < b").select("a", "b").distinct()
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """seeds (n) with all that reach them over edges (s, o). Cycles end, as only new nodes are followed. What is known is checkpointed each round, so
+    plans don't grow, and the rounds before are released."""
+    checkpoint_dir(edges.sparkSession)
+    known = seeds.select("n", F.lit(True).alias("fresh")).distinct().checkpoint()
+    while known.where("fresh").limit(1).count():
+        step = edges.join(known.where("fresh").select(F.col("n").alias("o")), "o").select(F.col("s").alias("n")).distinct()
+        new = step.join(known, "n", "left_anti").select("n", F.lit(True).alias("fresh"))
+        known = known.withColumn("fresh", F.lit(False)).union(new).checkpoint()
+    return known.select("n")
 
 
-def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """seeds (n) with all that reach them over edges (s, o). Cycles end, as only new nodes are followed."""
-    known = seeds.select("n").distinct().persist()
-    fresh = known
-    while fresh.limit(1).count():
-        step = edges.join(fresh.withColumnRenamed("n", "o"), "o").select(F.col("s").alias("n")).distinct()
-        fresh = step.join(known, "n", "left_anti").persist()
-        known = known.union(fresh)
-    return known
+#: Properties from a method to its test.
+FOR_TEST = ("forValidation", "forIssue", "forMeasure", "forAmendment")
 
 
-def specification_chain(triples: DataFrame, tests: list[str]) -> DataFrame:
-    """test, method, specification and its label (left) over the three hops."""
-    hop = lambda p, s, o: triples.where(F.col("p") == p).select(F.col("s").alias(s), F.col("o").alias(o))
-    out = hop("forTest", "method", "test").where(F.col("test").isin(tests)).join(hop("hasSpecification", "method", "specification"), "method")
-    return out.join(hop("label", "specification", "label"), "specification", "left").select("test", "method", "specification", "label")
+def response_chain(triples: DataFrame, tests: DataFrame) -> DataFrame:
+    """response, status, result, phase and record of the responses of tests (n), over the triples (s, p, o) of a run's report and the definitions: implementation
+    to response, implementation to specification, method to specification, method to test. What a response lacks is null."""
+    hop = lambda p, s, o: triples.where(F.col("p").isin(*p) if isinstance(p, tuple) else F.col("p") == p).select(F.col("s").alias(s), F.col("o").alias(o))
+    methods = hop(FOR_TEST, "method", "n").join(tests, "n").join(hop("hasSpecification", "method", "specification"), "method")
+    out = hop("producesResponse", "implementation", "response").join(hop("usesSpecification", "implementation", "specification"), "implementation").join(methods, "specification")
+    for p, name in (("hasResponseStatus", "status"), ("hasResponseResult", "result"), ("phase", "phase"), ("appliesTo", "record")):
+        out = out.join(hop(p, "response", name), "response", "left")
+    return out.select("response", "status", "result", "phase", "record")
 
 
 def version_variants(triples: DataFrame, test: str) -> DataFrame:
@@ -75,9 +50,3 @@ def version_variants(triples: DataFrame, test: str) -> DataFrame:
     v = triples.where("p = 'isVersionOf'")
     own = triples.sparkSession.createDataFrame([(test,)], "n string")
     return own.union(v.where(F.col("s") == test).select("o")).union(v.where(F.col("o") == test).select("s")).distinct()
-
-
-def definition_stats(df: DataFrame) -> DataFrame:
-    """Distinct use cases, policies and tests by file (f), and over all files (f null)."""
-    n = lambda k: F.count_distinct(F.when(F.col("kind") == k, F.col("id")))
-    return df.rollup("f").agg(n("UseCase").alias("use_cases"), n("Policy").alias("policies"), n("Test").alias("tests"))

@@ -2,33 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import os
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Sees that there is a folder for checkpoints: the one that the session names, or one of this machine if there is no other."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + os.path.join(tempfile.gettempdir(), "plumbline-shared")
+    sc.setCheckpointDir(at)
+
+
 def with_row_number(df: DataFrame, order: list[str], into: str) -> DataFrame:
-    """df with its place from 1. Rows are counted by their key first; keys are ranked by the running sum over range
-    partitions of the counts, so only one row for each partition meets in one task."""
-    counts = df.groupBy(*order).agg(F.count(F.lit(1)).alias("__n"))
+    """df with its place from 1. Rows are dealt out by ranges of the order once, with a number of their own at its end, so that rows of one key can be
+    dealt to several partitions; the rows are numbered in each partition and shifted by the counts of those before. Rows that are equal
+    in the order may change places."""
+    checkpoint_dir(df.sparkSession)
+    dealt = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*order, "__tie").withColumn("__p", F.spark_partition_id())
     # checkpointed, as a second run of the range exchange may sample other bounds
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import os
-        import tempfile
-
-        sc.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "plumbline-shared"))
-    ranged = counts.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).checkpoint()
-    within = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = dealt.checkpoint()
     ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("__p").agg(F.sum("__n").alias("__all")).select("__p", F.coalesce(F.sum("__all").over(ahead), F.lit(0)).alias("__ahead"))
-    placed = ranged.join(sums, "__p").withColumn("__first", F.coalesce(F.sum("__n").over(within), F.lit(0)) + F.col("__ahead")).select(*order, "__first")
-    own = Window.partitionBy(*order).orderBy(*order)
-    joined = df.join(placed.select(*(F.col(c).alias(f"__o_{c}") for c in order), "__first"), _same(order), "left").drop(*(f"__o_{c}" for c in order))
-    return joined.withColumn(into, (F.row_number().over(own) + F.col("__first")).cast("long")).drop("__first")
-
-
-def _same(order: list[str]):
-    out = F.lit(True)
-    for c in order:
-        out = out & F.col(c).eqNullSafe(F.col(f"__o_{c}"))
-    return out
+    counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__p", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order, "__tie"))
+    return ranged.withColumn(into, place).join(F.broadcast(before), "__p").withColumn(into, (F.col(into) + F.col("__before")).cast("long")).drop("__p", "__tie", "__before")
