@@ -7,15 +7,17 @@ Python rules. The SQL repeats them from the tables alone.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.binding import bind, split
+from plumbline import api, policy
+from plumbline.binding import Bound, bind, candidates, column_for, worst
 from plumbline.functions import text as fx
-from plumbline.model import AMEND, POST, PRE, Test
-from plumbline.operators import execute, graph, measures, summary
+from plumbline.model import AMEND, POST, PRE, BoundParam, Param, Plan, Rule, Test, UseCase
+from plumbline.operators import execute, graph, summary
+from plumbline.rdf import Term, Triple
 from plumbline.registry import discover
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,11 +41,9 @@ TESTS = [
     Test("urn:rule:outlier", "ISSUE_PRICE_OUTLIER", "ISSUE"),
     Test("urn:rule:priorityname", "AMENDMENT_PRIORITY_STANDARDISED", "AMENDMENT", AMEND),
     Test("urn:rule:queue", "AMENDMENT_QUEUE", "AMENDMENT", AMEND),
-    *(t for p in (PRE, POST) for t in (
-        Test(f"urn:measure:count:{p}", "MULTIRECORD_MEASURE_COUNT_COMPLIANT_ORDERSTATUS_FINAL", "MEASURE", p),
-        Test(f"urn:measure:qa:{p}", "MULTIRECORD_MEASURE_QA_PRIORITY_SPECIFIED", "MEASURE", p, metadata={"expectedResponse": "COMPLETE if every VALIDATION_PRIORITY_SPECIFIED in the MultiRecord has Response.result=COMPLIANT"}),
-    )),
-]
+    Test("urn:measure:count", "MULTIRECORD_MEASURE_COUNT_COMPLIANT_ORDERSTATUS_FINAL", "MEASURE"),
+    Test("urn:measure:qa", "MULTIRECORD_MEASURE_QA_PRIORITY_SPECIFIED", "MEASURE", metadata={"expectedResponse": "COMPLETE if every VALIDATION_PRIORITY_SPECIFIED in the MultiRecord has Response.result=COMPLIANT"}),
+]
 
 
 def rules():
@@ -67,24 +67,17 @@ def bound(records: DataFrame, tests=None):
     return bind(tests or TESTS, rules(), columns=execute.terms(records)).bindings
 
 
-def phases(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    records = orders(spark, sf_dir)
-    return execute.run_phases(records, bound(records))
+def done(spark: SparkSession, sf_dir: str, tests=None, records: DataFrame | None = None, **settings) -> api.Run:
+    """A run of the engine over orders. Measures of the first phase are taken in the last one too, under the same id."""
+    return api.run(api.prepare(spark, records if records is not None else orders(spark, sf_dir), tests=tests or TESTS), **settings)
 
 
-def everything(spark: SparkSession, sf_dir: str, with_measures: bool = True) -> DataFrame:
-    records = orders(spark, sf_dir)
-    bindings = bound(records)
-    out = execute.run_phases(records, bindings)
-    parts = [out[PRE], out[AMEND], out[POST]]
-    if with_measures:
-        parts += [measures.measures(out[p], records, split([b for b in bindings if b.measure is None or b.test.phase == p], p)[1] if p == PRE else measure_bindings(bindings, p), p) for p in (PRE, POST)]
-    return reduce(DataFrame.unionByName, parts)
+def everything(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
+    return done(spark, sf_dir).of(columns=columns)
 
 
-def measure_bindings(bindings, phase: str):
-    """Measures that a definition gives for this phase."""
-    return [b for b in bindings if b.measure is not None and b.test.phase == phase]
+def per_record(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
+    return done(spark, sf_dir).of(columns=columns, multirecord=False)
 
 
 #: The same responses in SQL: ord, test_id, type, phase, p (its place), status, result, outcome, amended term and value.
@@ -103,8 +96,8 @@ r AS (
   UNION ALL SELECT ord, record_id, 'urn:rule:priorityname', 'AMENDMENT', 'AMENDMENT', 1, CASE WHEN pr = '4-NOT SPECIFIED' THEN 'FILLED_IN' ELSE 'AMENDED' END, NULL, 'AMENDED', 'o_orderpriority', pr2 FROM am
   UNION ALL SELECT ord, record_id, 'urn:rule:queue', 'AMENDMENT', 'AMENDMENT', 1, 'FILLED_IN', NULL, 'AMENDED', 'o_queue', CASE WHEN pr2 IN ('URGENT', 'HIGH') THEN 'fast' ELSE 'normal' END FROM am),
 m AS (
-  SELECT 'urn:measure:count:' || phase AS test_id, phase, CAST(count(*) FILTER (rr = 'COMPLIANT') AS VARCHAR) AS result, count(*) FILTER (rr = 'COMPLIANT') AS matching, count(*) AS eligible, 'PASSED' AS outcome FROM r WHERE test_id = 'urn:rule:orderstatus' GROUP BY phase
-  UNION ALL SELECT 'urn:measure:qa:' || phase, phase, CASE WHEN count(*) = count(*) FILTER (rr = 'COMPLIANT') THEN 'COMPLETE' ELSE 'NOT_COMPLETE' END, count(*) FILTER (rr = 'COMPLIANT'), count(*), CASE WHEN count(*) = count(*) FILTER (rr = 'COMPLIANT') THEN 'PASSED' ELSE 'FAILED' END FROM r WHERE test_id = 'urn:rule:priority' GROUP BY phase),
+  SELECT 'urn:measure:count' AS test_id, phase, CAST(count(*) FILTER (rr = 'COMPLIANT') AS VARCHAR) AS result, count(*) FILTER (rr = 'COMPLIANT') AS matching, count(*) AS eligible, 'PASSED' AS outcome FROM r WHERE test_id = 'urn:rule:orderstatus' GROUP BY phase
+  UNION ALL SELECT 'urn:measure:qa', phase, CASE WHEN count(*) = count(*) FILTER (rr = 'COMPLIANT') THEN 'COMPLETE' ELSE 'NOT_COMPLETE' END, count(*) FILTER (rr = 'COMPLIANT'), count(*), CASE WHEN count(*) = count(*) FILTER (rr = 'COMPLIANT') THEN 'PASSED' ELSE 'FAILED' END FROM r WHERE test_id = 'urn:rule:priority' GROUP BY phase),
 a AS (
   SELECT record_id, test_id, test_type, phase, phase_ord, rs, rr, outcome FROM r
   UNION ALL SELECT 'MULTIRECORD', test_id, 'MEASURE', phase, CASE WHEN phase = 'PRE_AMENDMENT' THEN 0 ELSE 2 END, 'RUN_HAS_RESULT', result, outcome FROM m)
@@ -115,27 +108,27 @@ ROW_SQL = "SELECT ord AS record_ord, test_id, test_type, phase, outcome AS statu
 
 @query(SQL + ROW_SQL + " WHERE phase = 'PRE_AMENDMENT'")
 def pre_validation_responses(spark, sf_dir):
-    return phases(spark, sf_dir)[PRE].select(ROW)
+    return done(spark, sf_dir).of(phase=PRE, multirecord=False, columns=ROW)
 
 
 @query(SQL + ROW_SQL + " WHERE phase = 'POST_AMENDMENT'")
 def post_rerun_responses(spark, sf_dir):
-    return phases(spark, sf_dir)[POST].select(ROW)
+    return done(spark, sf_dir).of(phase=POST, multirecord=False, columns=ROW)
 
 
 @query(SQL + "SELECT ord AS record_ord, test_id, outcome AS status, rs AS response_status, '{' || term || '=' || value || '}' AS amendments FROM r WHERE phase = 'AMENDMENT'")
 def amendment_responses(spark, sf_dir):
-    return phases(spark, sf_dir)[AMEND].select("record_ord", "test_id", "status", "response_status", fx.map_text("amendments").alias("amendments"))
+    return done(spark, sf_dir).of(phase=AMEND, multirecord=False).select("record_ord", "test_id", "status", "response_status", fx.map_text("amendments").alias("amendments"))
 
 
 @query(SQL + "SELECT record_id, st AS o_orderstatus, pr2 AS o_orderpriority, CASE WHEN pr2 IN ('URGENT', 'HIGH') THEN 'fast' ELSE 'normal' END AS o_queue FROM am")
 def amended_records(spark, sf_dir):
-    return phases(spark, sf_dir)["amended"].select("record_id", "o_orderstatus", "o_orderpriority", "o_queue")
+    return done(spark, sf_dir).amended.select("record_id", "o_orderstatus", "o_orderpriority", "o_queue")
 
 
 @query(SQL + "SELECT value AS queue, count(*) AS n FROM r WHERE test_id = 'urn:rule:queue' GROUP BY value")
 def chained_amendment(spark, sf_dir):
-    out = phases(spark, sf_dir)[AMEND].where("test_id = 'urn:rule:queue'")
+    out = done(spark, sf_dir).of(test_id="urn:rule:queue", columns=["amendments"])
     return out.groupBy(F.element_at("amendments", F.lit("o_queue")).alias("queue")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -168,7 +161,22 @@ def dedup_off_responses(spark, sf_dir):
 
 @query("SELECT count(DISTINCT event_type) AS deduplicated, count(*) AS plain FROM events")
 def dedup_invocation_counts(spark, sf_dir):
-    return events(spark, sf_dir).agg(F.countDistinct("event_type").alias("deduplicated"), F.count(F.lit(1)).alias("plain"))
+    """Real calls of a Python rule, counted in the workers while its responses are taken with and without distinct invocation."""
+    records = events(spark, sf_dir)
+    event = next(r for r in rules() if r.provides == "urn:rule:event")
+    made = {}
+    for name, dedup in (("deduplicated", True), ("plain", False)):
+        calls = spark.sparkContext.accumulator(0)
+
+        def counted(event_type, calls=calls):
+            calls.add(1)
+            return event.fn(event_type)
+
+        rule = Rule(event.provides, event.version, event.type, event.cls, event.method, event.params, counted, False, event.writes)
+        own = bind([Test("urn:rule:event", "VALIDATION_EVENT_ALLOWED")], [rule], columns=execute.terms(records)).bindings
+        execute.validate(records, own, dedup=dedup).write.format("noop").mode("overwrite").save()
+        made[name] = calls.value
+    return spark.createDataFrame([(made["deduplicated"], made["plain"])], "deduplicated long, plain long")
 
 
 @query(f"SELECT test_id, status, count(*) AS n FROM ({EVENT_SQL}) GROUP BY ALL")
@@ -188,35 +196,42 @@ MEASURED_SQL = "SELECT test_id, phase, outcome AS status, result AS response_res
 
 
 def measured(spark, sf_dir, kind):
-    out = everything(spark, sf_dir).where(F.col("test_id").startswith(f"urn:measure:{kind}:"))
+    out = done(spark, sf_dir).of(test_id=f"urn:measure:{kind}")
     number = lambda k: F.element_at("parameters", F.lit(k)).cast("long")
     return out.withColumns({"matching": number("matchingCount"), "total": number("totalRecords")}).select(MEASURED)
 
 
-@query(SQL + MEASURED_SQL + " WHERE test_id LIKE 'urn:measure:count:%'")
+@query(SQL + MEASURED_SQL + " WHERE test_id = 'urn:measure:count'")
 def count_measure(spark, sf_dir):
     return measured(spark, sf_dir, "count")
 
 
-@query(SQL + MEASURED_SQL + " WHERE test_id LIKE 'urn:measure:qa:%'")
+@query(SQL + MEASURED_SQL + " WHERE test_id = 'urn:measure:qa'")
 def qa_measure(spark, sf_dir):
     return measured(spark, sf_dir, "qa")
 
 
-@query("SELECT 'COMPLETE' AS response_result, 'PASSED' AS status")
+@query("""SELECT phase, CAST(count(*) FILTER (new <> pr) AS BIGINT) AS matching, count(*) AS total FROM (SELECT 'POST_AMENDMENT' AS phase, o_orderpriority AS pr,
+  CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN o_orderpriority WHEN regexp_matches(o_orderpriority, '^[0-9]-') THEN substr(o_orderpriority, 3) ELSE o_orderpriority END AS new FROM orders) GROUP BY phase""")
+def count_amended_measure(spark, sf_dir):
+    """A COUNT measure whose label names a status of amendments. Its target runs in the phase that it is taken in: a validation that repeats what the amendment did."""
+    told = Rule("urn:rule:told", "", "VALIDATION", "catalogue", "told", (Param("ACTED_UPON", "o_orderpriority"), Param("ACTED_UPON", "o_before")), lambda now, before: execute.output("RUN_HAS_RESULT", F.when(now.isin("MEDIUM") & (before == "4-NOT SPECIFIED"), "FILLED_IN").when(now != before, "AMENDED").otherwise("NOT_AMENDED")))
+    tests = [Test("urn:rule:priorityname", "AMENDMENT_PRIORITY_STANDARDISED", "AMENDMENT", AMEND), Test("urn:rule:told", "VALIDATION_PRIORITY_CHANGED"), Test("urn:measure:amended", "MULTIRECORD_MEASURE_COUNT_AMENDED_PRIORITY_CHANGED", "MEASURE")]
+    records = orders(spark, sf_dir).withColumn("o_before", F.col("o_orderpriority"))
+    bound_ = bind(tests, [*rules(), told], columns=execute.terms(records))
+    run = api.run(api.Prepared(records, Plan(UseCase(""), (), tuple(tests)), bound_, ()))
+    number = lambda k: F.element_at("parameters", F.lit(k)).cast("long")
+    return run.of(phase=POST, multirecord=True).select("phase", number("matchingCount").alias("matching"), number("totalRecords").alias("total"))
+
+
+@query("SELECT CASE WHEN count(*) FILTER (o_orderpriority <> '4-NOT SPECIFIED') = count(*) THEN 'COMPLETE' ELSE 'NOT_COMPLETE' END AS response_result, CASE WHEN count(*) FILTER (o_orderpriority <> '4-NOT SPECIFIED') = count(*) THEN 'PASSED' ELSE 'FAILED' END AS status FROM orders WHERE false")
 def qa_measure_empty_target(spark, sf_dir):
-    records = orders(spark, sf_dir).where("false")
-    bindings = bound(records)
-    pre = execute.run_phases(records, bindings)[PRE]
-    return measures.measures(pre, records, [b for b in measure_bindings(bindings, PRE) if b.measure.kind == "QA"], PRE).select("response_result", "status")
+    return done(spark, sf_dir, records=orders(spark, sf_dir).where("false")).of(phase=PRE, test_id="urn:measure:qa", columns=["response_result", "status"])
 
 
 @query(SQL + "SELECT CASE WHEN count(*) FILTER (rr IS NULL) > 0 THEN 'ERROR' ELSE 'PASSED' END AS status FROM r WHERE test_id = 'urn:rule:priority' AND phase = 'PRE_AMENDMENT'")
 def qa_measure_strict(spark, sf_dir):
-    records = orders(spark, sf_dir)
-    bindings = bound(records)
-    pre = execute.run_phases(records, bindings)[PRE]
-    return measures.measures(pre, records, [b for b in measure_bindings(bindings, PRE) if b.measure.kind == "QA"], PRE, strict=True).select("status")
+    return done(spark, sf_dir, strict=True).of(phase=PRE, test_id="urn:measure:qa", columns=["status"])
 
 
 SLIM = ["record_id", "test_id", "phase", "status"]
@@ -225,117 +240,117 @@ SLIM_SQL = "SELECT record_id, test_id, phase, outcome AS status FROM a"
 
 @query(SQL + SLIM_SQL + " WHERE phase = 'AMENDMENT'")
 def responses_for_phase(spark, sf_dir):
-    return summary.for_phase(everything(spark, sf_dir), AMEND).select(SLIM)
+    return done(spark, sf_dir).of(phase=AMEND, columns=SLIM)
 
 
 @query(SQL + SLIM_SQL + " WHERE test_type = 'ISSUE'")
 def responses_for_type(spark, sf_dir):
-    return summary.for_type(everything(spark, sf_dir), "ISSUE").select(SLIM)
+    return done(spark, sf_dir).of(test_type="ISSUE", columns=SLIM)
 
 
 @query(SQL + SLIM_SQL + " WHERE rs = 'INTERNAL_PREREQUISITES_NOT_MET'")
 def responses_for_status(spark, sf_dir):
-    return summary.for_response_status(everything(spark, sf_dir), "INTERNAL_PREREQUISITES_NOT_MET").select(SLIM)
+    return summary.for_response_status(everything(spark, sf_dir, [*SLIM, "response_status"]), "INTERNAL_PREREQUISITES_NOT_MET").select(SLIM)
 
 
 @query(SQL + SLIM_SQL + " WHERE record_id = 'MULTIRECORD'")
 def multirecord_measures(spark, sf_dir):
-    return summary.multirecord_measures(everything(spark, sf_dir)).select(SLIM)
+    return summary.multirecord_measures(done(spark, sf_dir).of(multirecord=True)).select(SLIM)
 
 
 @query(SQL + "SELECT count(*) FILTER (record_id NOT IN ('MULTIRECORD', '*')) AS per_record, count(*) FILTER (record_id IN ('MULTIRECORD', '*')) AS sentinel FROM a")
 def sentinel_split(spark, sf_dir):
-    r = everything(spark, sf_dir)
+    r = everything(spark, sf_dir, ["record_id"])
     own, rest = summary.per_record(r).agg(F.count(F.lit(1)).alias("per_record")), summary.sentinels(r).agg(F.count(F.lit(1)).alias("sentinel"))
     return own.crossJoin(rest)  # one row each
 
 
 @query(SQL + "SELECT coalesce(rs, '<none>') AS key, count(*) AS n FROM a GROUP BY 1")
 def counts_by_status(spark, sf_dir):
-    return summary.counts_by(everything(spark, sf_dir), "response_status")
+    return summary.counts_by(everything(spark, sf_dir, ["response_status"]), "response_status")
 
 
 @query(SQL + "SELECT coalesce(rr, '<none>') AS key, count(*) AS n FROM a GROUP BY 1")
 def counts_by_result(spark, sf_dir):
-    return summary.counts_by(everything(spark, sf_dir), "response_result")
+    return summary.counts_by(everything(spark, sf_dir, ["response_result"]), "response_result")
 
 
 @query(SQL + "SELECT rr AS key, count(*) AS n FROM a WHERE regexp_matches(rr, '^[A-Z][A-Z0-9_]*$') GROUP BY 1")
 def result_keywords(spark, sf_dir):
-    return summary.keywords(summary.counts_by(everything(spark, sf_dir), "response_result"))
+    return summary.keywords(summary.counts_by(everything(spark, sf_dir, ["response_result"]), "response_result"))
 
 
 @query(SQL + "SELECT phase AS key, count(*) AS n FROM a GROUP BY 1")
 def counts_by_phase(spark, sf_dir):
-    return summary.counts_by(everything(spark, sf_dir), "phase")
+    return summary.counts_by(everything(spark, sf_dir, ["phase"]), "phase")
 
 
 @query(SQL + "SELECT count(*) AS n FROM a WHERE phase = 'PRE_AMENDMENT' AND rs = 'RUN_HAS_RESULT'")
 def count_phase_status(spark, sf_dir):
-    return summary.count_where(everything(spark, sf_dir), phase=PRE, response_status="RUN_HAS_RESULT")
+    return summary.count_where(everything(spark, sf_dir, ["phase", "response_status"]), phase=PRE, response_status="RUN_HAS_RESULT")
 
 
 @query(SQL + "SELECT count(*) AS n FROM a WHERE test_type = 'ISSUE' AND rr = 'IS_ISSUE'")
 def count_type_result(spark, sf_dir):
-    return summary.count_where(everything(spark, sf_dir), test_type="ISSUE", response_result="IS_ISSUE")
+    return summary.count_where(everything(spark, sf_dir, ["test_type", "response_result"]), test_type="ISSUE", response_result="IS_ISSUE")
 
 
 @query(SQL + "SELECT test_id, max(result) FILTER (phase = 'PRE_AMENDMENT') AS pre_amendment, max(result) FILTER (phase = 'POST_AMENDMENT') AS post_amendment FROM m GROUP BY test_id")
 def measure_pivot(spark, sf_dir):
-    return summary.measure_pivot(everything(spark, sf_dir))
+    return summary.measure_pivot(done(spark, sf_dir).of(multirecord=True))
 
 
 @query(SQL + "SELECT term || '=' || value AS key, count(*) AS n FROM r WHERE rs = 'FILLED_IN' GROUP BY 1 ORDER BY n DESC, lower(key), key LIMIT 10")
 def filled_in_top10(spark, sf_dir):
-    return summary.top(summary.filled_in(everything(spark, sf_dir, False)))
+    return summary.top(summary.filled_in(done(spark, sf_dir).of(phase=AMEND, columns=["response_status", "amendments"])))
 
 
 @query(SQL + "SELECT term || ': ' || pr || ' -> ' || value AS key, count(*) AS n FROM r JOIN o USING (ord) WHERE rs = 'AMENDED' GROUP BY 1 ORDER BY n DESC, lower(key), key LIMIT 10")
 def amended_pairs_top10(spark, sf_dir):
-    return summary.top(summary.amended_pairs(everything(spark, sf_dir, False), orders(spark, sf_dir), ["o_orderpriority", "o_orderstatus"]))
+    return summary.top(summary.amended_pairs(done(spark, sf_dir).of(phase=AMEND, columns=["record_ord", "response_status", "amendments"]), orders(spark, sf_dir), ["o_orderpriority", "o_orderstatus"]))
 
 
 @query(SQL + "SELECT phase, CASE WHEN test_type IN ('VALIDATION', 'ISSUE') AND rr IS NOT NULL OR test_type = 'MEASURE' AND rr IN ('COMPLETE', 'NOT_COMPLETE') THEN rs || ' | ' || rr ELSE rs END AS key, count(*) AS n FROM a GROUP BY ALL")
 def outcome_tally(spark, sf_dir):
-    return summary.outcome_tally(everything(spark, sf_dir))
+    return summary.outcome_tally(everything(spark, sf_dir, ["phase", "test_type", "response_status", "response_result"]))
 
 
 @query(SQL + """, t AS (SELECT coalesce(CAST(price AS VARCHAR), '<no value>') AS k, count(*) AS n FROM r LEFT JOIN (SELECT ord, CAST(round(price / 10000) AS BIGINT) AS price FROM o) USING (ord) GROUP BY 1)
 SELECT * FROM (SELECT k AS key, n FROM t ORDER BY n DESC, lower(k), k LIMIT 10) UNION ALL SELECT '... and ' || (count(*) - 10) || ' more distinct value(s)', count(*) - 10 FROM t HAVING count(*) > 10""")
 def term_value_top10_more(spark, sf_dir):
     source = orders(spark, sf_dir).withColumn("band", F.round(F.col("o_totalprice").cast("double") / 10000).cast("long").cast("string"))
-    return summary.top_with_rest(summary.value_tally(everything(spark, sf_dir, False), source, "band"))
+    return summary.top_with_rest(summary.value_tally(per_record(spark, sf_dir, ["record_ord"]), source, "band"))
 
 
 @query(SQL + "SELECT record_id, phase, test_id, row_number() OVER (ORDER BY phase_ord, test_id, record_id) AS rank FROM r")
 def response_sort_order(spark, sf_dir):
     from plumbline.operators.ranking import with_row_number
 
-    r = everything(spark, sf_dir, False)
-    return with_row_number(r.select("record_id", "phase", "phase_ord", "test_id"), ["phase_ord", "test_id", "record_id"], "rank").select("record_id", "phase", "test_id", "rank")
+    r = per_record(spark, sf_dir, ["record_id", "phase", "phase_ord", "test_id"])
+    return with_row_number(r, ["phase_ord", "test_id", "record_id"], "rank").select("record_id", "phase", "test_id", "rank")
 
 
 @query(SQL + "SELECT record_id, 'class' AS implementation, replace(replace(test_id, chr(9), ' '), chr(10), ' ') AS test_id, coalesce(rr, '') AS response_result, CASE WHEN term IS NULL THEN '{}' ELSE '{' || term || '=' || value || '}' END AS amendments FROM r")
 def tsv_projection(spark, sf_dir):
-    r = everything(spark, sf_dir, False)
+    r = per_record(spark, sf_dir)
     return r.select("record_id", F.lit("class").alias("implementation"), fx.tsv_cell("test_id").alias("test_id"), fx.tsv_cell("response_result").alias("response_result"), fx.map_text("amendments").alias("amendments"))
 
 
 @query(SQL + """SELECT kind, result, count(*) AS n FROM (SELECT CASE test_type WHEN 'VALIDATION' THEN 'ValidationResponse' WHEN 'ISSUE' THEN 'IssueResponse' WHEN 'MEASURE' THEN 'MeasurementResponse' ELSE 'AmendmentResponse' END AS kind,
   rr AS result FROM a WHERE test_type <> 'AMENDMENT' UNION ALL SELECT 'AmendmentResponse', '{"' || term || '":"' || value || '"}' FROM r WHERE test_type = 'AMENDMENT') GROUP BY ALL""")
 def rdf_response_typing(spark, sf_dir):
-    r = everything(spark, sf_dir)
+    r = everything(spark, sf_dir, ["test_type", "response_status", "response_result", "amendments"])
     return r.select(fx.rdf_response_type("test_type", "response_status").alias("kind"), fx.rdf_result("test_type", "response_result", "amendments").alias("result")).groupBy("kind", "result").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(SQL + """SELECT CASE WHEN term IS NULL THEN '{}' ELSE '{"' || term || '":"' || value || '"}' END AS json, count(*) AS n FROM r GROUP BY 1""")
 def amendments_json(spark, sf_dir):
-    return everything(spark, sf_dir, False).groupBy(fx.amendments_json("amendments").alias("json")).agg(F.count(F.lit(1)).alias("n"))
+    return per_record(spark, sf_dir, ["amendments"]).groupBy(fx.amendments_json("amendments").alias("json")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(SQL + "SELECT ord AS record_ord, '{pr=' || pr2 || ', q=new}' AS difference FROM am WHERE pr <> pr2 UNION ALL SELECT ord, '{q=new}' FROM am WHERE pr = pr2")
 def map_diff(spark, sf_dir):
-    amended = phases(spark, sf_dir)["amended"].select("record_ord", F.col("o_orderpriority").alias("pr2"))
+    amended = done(spark, sf_dir).amended.select("record_ord", F.col("o_orderpriority").alias("pr2"))
     both = orders(spark, sf_dir).join(amended, "record_ord")
     before = F.create_map(F.lit("pr"), F.col("o_orderpriority"), F.lit("st"), F.col("o_orderstatus"))
     after = F.create_map(F.lit("pr"), F.col("pr2"), F.lit("st"), F.col("o_orderstatus"), F.lit("q"), F.lit("new"))
@@ -377,9 +392,7 @@ UNRESOLVED_TESTS = [Test("urn:rule:orderstatus", "A"), Test("urn:rule:none", "B"
 @query("SELECT '*' AS record_id, test_id, 'UNABLE_TO_RUN' AS status, message FROM (VALUES ('urn:rule:none', 'No implementation discovered'), ('urn:rule:price', 'TERM MISSING: o_totalprice')) t(test_id, message)")
 def unresolved_placeholder_rows(spark, sf_dir):
     records = orders(spark, sf_dir).drop("o_totalprice")
-    from plumbline.api import unresolved_rows
-
-    return unresolved_rows(spark, bind(UNRESOLVED_TESTS, rules(), columns=execute.terms(records))).select("record_id", "test_id", "status", "message")
+    return api.unresolved_rows(spark, bind(UNRESOLVED_TESTS, rules(), columns=execute.terms(records))).select("record_id", "test_id", "status", "message")
 
 
 @query("SELECT 'TERM_MISSING' AS status, 'urn:rule:price' AS test_id, count(*) AS n FROM orders UNION ALL SELECT 'BOUND', 'urn:rule:orderstatus', count(*) FROM orders")
@@ -391,92 +404,143 @@ def unbound_still_runs(spark, sf_dir):
     return execute.validate(records, bindings).groupBy("test_id").agg(F.count(F.lit(1)).alias("n")).select(F.element_at(told, F.col("test_id")).alias("status"), "test_id", "n")
 
 
-PRE_IDS, POST_IDS = "('a'), ('b'), ('c')", "('b')"
-
-
-@query(f"SELECT id FROM (VALUES {PRE_IDS}) p(id) WHERE id NOT IN (SELECT id FROM (VALUES {POST_IDS}) q(id)) UNION ALL SELECT id FROM (VALUES {POST_IDS}) q(id)")
+@query("""WITH n AS (SELECT count(*) FILTER (o_totalprice <= 200000) AS low, count(*) FILTER (o_totalprice <= 300000) AS high, count(*) FILTER (o_orderstatus IN ('F', 'O')) AS fin FROM orders)
+SELECT 'PRE_AMENDMENT' AS phase, 'urn:rule:price' AS test_id, high AS n FROM n UNION ALL SELECT 'POST_AMENDMENT', 'urn:rule:price', low FROM n
+UNION ALL SELECT 'PRE_AMENDMENT', 'urn:rule:orderstatus', fin FROM n UNION ALL SELECT 'POST_AMENDMENT', 'urn:rule:orderstatus', fin FROM n""")
 def post_explicit_antijoin(spark, sf_dir):
-    pre, post = values(spark, sf_dir, PRE_IDS, "id"), values(spark, sf_dir, POST_IDS, "id")
-    return pre.join(post, "id", "left_anti").unionByName(post)
+    """A binding of its own in the last phase takes the place of the first phase's; the others are run again."""
+    tests = (Test("urn:rule:orderstatus", "A"), Test("urn:rule:price", "B", parameters={"maxPrice": "300000"}), Test("urn:rule:price", "C", parameters={"maxPrice": "200000"}))
+    records = orders(spark, sf_dir)
+    first, second, last = bound(records, tests)
+    own = Bound((first, second, replace(last, phase=POST)), (), ())
+    r = api.run(api.Prepared(records, Plan(UseCase(""), (), tests), own, ())).of(columns=["phase", "test_id", "response_result"])
+    return r.groupBy("phase", "test_id").agg(F.count_if(F.col("response_result") == "COMPLIANT").alias("n"))
 
 
-@query("SELECT m, t FROM (VALUES ('m1', 'a'), ('m2', 'z')) x(m, t) WHERE t IN ('a', 'b')")
+@query("""SELECT 'urn:measure:there' AS test_id, phase, 'RUN_HAS_RESULT' AS response_status, (SELECT CAST(count(*) FILTER (o_orderstatus IN ('F', 'O')) AS VARCHAR) FROM orders) AS response_result FROM (VALUES ('PRE_AMENDMENT'), ('POST_AMENDMENT')) p(phase)
+UNION ALL SELECT 'urn:measure:absent', 'PRE_AMENDMENT', 'UNABLE_TO_RUN', NULL""")
 def measure_target_semijoin(spark, sf_dir):
-    m = values(spark, sf_dir, "('m1', 'a'), ('m2', 'z')", "m", "t")
-    return m.join(values(spark, sf_dir, "('a'), ('b')", "t"), "t", "left_semi").select("m", "t")
+    """Measures are taken where their target runs; one without a target is unresolved."""
+    tests = [Test("urn:rule:orderstatus", "VALIDATION_A"), Test("urn:measure:there", "MULTIRECORD_MEASURE_COUNT_COMPLIANT_A", "MEASURE"), Test("urn:measure:absent", "MULTIRECORD_MEASURE_COUNT_COMPLIANT_Z", "MEASURE")]
+    return summary.sentinels(done(spark, sf_dir, tests).of(test_type="MEASURE")).select("test_id", "phase", "response_status", "response_result")
 
 
-IMPLS = "('urn:t:1', 'C', 'b', false), ('urn:t:1', 'A', 'x', false), ('urn:t:1', 'A', 'p', true), ('urn:t:2', 'D', 'q', true), ('urn:t:2', 'B', 'r', true)"
-
-
-@query(f"SELECT test, class, method, parameterised FROM (SELECT *, row_number() OVER (PARTITION BY test, parameterised ORDER BY class, method) AS rn FROM (VALUES {IMPLS}) t(test, class, method, parameterised)) WHERE rn = 1")
+@query("SELECT * FROM (VALUES ('plain', 'FOUND', 'PARAMETERIZED_VERSION_AVAILABLE', 'rules.Orders#price_in_range'), ('rich', 'FOUND', 'PARAMETERIZED_VERSION_AVAILABLE', 'rules.Orders#price_below'), ('one', 'FOUND', 'DEFAULT_ONLY', 'rules.Orders#order_status_final'), ('none', 'MISSING', NULL, NULL)) t(label, implementation, capability, chosen)")
 def candidate_selection(spark, sf_dir):
-    return graph.first_per(values(spark, sf_dir, IMPLS, "test", "class", "method", "parameterised"), ["test", "parameterised"], ["class", "method"])
+    """Of two rules for a test the one with parameters is chosen where values are given."""
+    tests = [Test("urn:rule:price", "plain"), Test("urn:rule:price", "rich", parameters={"maxPrice": "1"}), Test("urn:rule:orderstatus", "one"), Test("urn:rule:absent", "none")]
+    return api.prepare(spark, orders(spark, sf_dir), tests=tests).review().select("label", "implementation", "capability", "chosen")
 
 
-IDS = "('t1', 'urn:v:1/'), ('t2', 'urn:p:2'), ('t3', 'https://x/ABCDEF01-2345-6789-abcd-ef0123456789-2024'), ('t4', 'urn:none')"
-PROVIDED = "('i1', 'urn:other', 'urn:v:1'), ('i2', 'urn:p:2', ''), ('i3', 'ABCDEF01-2345-6789-abcd-ef0123456789', 'x'), ('i4', 'urn:v:1', '')"
+IDS = (("t1", "urn:v:1/"), ("t2", "urn:p:2"), ("t3", "https://x/ABCDEF01-2345-6789-abcd-ef0123456789-2024"), ("t4", "urn:none"))
+PROVIDED = (("i1", "urn:other", "urn:v:1"), ("i2", "urn:p:2", ""), ("i3", "ABCDEF01-2345-6789-abcd-ef0123456789", "x"), ("i4", "urn:v:1", ""))
+literal = lambda rows: ", ".join(map(str, rows))
 
 
-@query(f"""WITH t AS (SELECT t, regexp_replace(trim(id), '/$', '') AS id, regexp_extract(id, '{fx.UUID}') AS u FROM (VALUES {IDS}) x(t, id)), p AS (SELECT * FROM (VALUES {PROVIDED}) x(i, pid, ver)),
+@query(f"""WITH t AS (SELECT t, regexp_replace(trim(id), '/$', '') AS id, regexp_extract(id, '{fx.UUID}') AS u FROM (VALUES {literal(IDS)}) x(t, id)), p AS (SELECT * FROM (VALUES {literal(PROVIDED)}) x(i, pid, ver)),
 h AS (SELECT t, i, 1 AS k FROM t JOIN p ON id = ver UNION ALL SELECT t, i, 2 FROM t JOIN p ON id = pid UNION ALL SELECT t, i, 3 FROM t JOIN p ON u = pid AND u <> '')
-SELECT t, i, k AS matched_by FROM h x WHERE k = (SELECT min(k) FROM h y WHERE y.t = x.t)""")
+SELECT t, i, k = 3 AS told FROM h x WHERE k = (SELECT min(k) FROM h y WHERE y.t = x.t)""")
 def version_fallback_match(spark, sf_dir):
-    return graph.cascade_match(values(spark, sf_dir, IDS, "t", "id"), values(spark, sf_dir, PROVIDED, "i", "pid", "ver"))
-
+    """The engine's candidates of a test: by version, else by id, else by the UUID in the id, which is told."""
+    own = [Rule(pid, ver, "VALIDATION", i, "m", (), str) for i, pid, ver in PROVIDED]
+    found = [(t, r.cls, bool(notes)) for t, id in IDS for rules_, notes in [candidates(Test(id), own, {})] for r in rules_]
+    return spark.createDataFrame(found, "t string, i string, told boolean")
 
-TERMS = "('dwc:eventDate'), ('EVENTDATE'), ('Country'), ('http://x/terms/country')"
 
-
-@query("SELECT * FROM (VALUES ('dwc:eventDate', 'dwc:eventDate'), ('dwc:country', 'Country'), ('dwc:absent', NULL)) t(term, bound_column)")
+@query("SELECT * FROM (VALUES ('dwc:eventDate', 'EVENTDATE'), ('dwc:country', 'Country'), ('dwc:absent', NULL)) t(term, bound_column)")
 def term_alias_resolution(spark, sf_dir):
-    return graph.alias_join(values(spark, sf_dir, "('dwc:eventDate'), ('dwc:country'), ('dwc:absent')", "term"), values(spark, sf_dir, TERMS, "c"))
+    """The engine's column of a term, among columns that differ in prefix and case: by the full name, else by the local one, the first by name."""
+    columns = ["EVENTDATE", "eventdate", "Country", "http://x/terms/country"]
+    return spark.createDataFrame([(t, column_for(t, columns)) for t in ("dwc:eventDate", "dwc:country", "dwc:absent")], "term string, bound_column string")
 
 
-FOLD = "('t1', 'BOUND'), ('t1', 'PARTIAL'), ('t2', 'BOUND'), ('t3', 'TERM_MISSING'), ('t3', 'PARTIAL'), ('t4', 'UNBOUND')"
+FOLD = (("t1", "given"), ("t1", "given"), ("t2", "given"), ("t2", "PARAMETER MISSING"), ("t3", "TERM MISSING"), ("t3", "given"), ("t4", "PARAMETER MISSING"))
 
 
-@query(f"SELECT t, (['BOUND', 'PARTIAL', 'TERM_MISSING', 'UNBOUND'])[max(list_position(['BOUND', 'PARTIAL', 'TERM_MISSING', 'UNBOUND'], s))] AS status FROM (VALUES {FOLD}) x(t, s) GROUP BY t")
+@query(f"SELECT t, CASE WHEN bool_or(p = 'TERM MISSING') THEN 'TERM_MISSING' WHEN bool_and(p = 'given') THEN 'BOUND' WHEN bool_or(p = 'given') THEN 'PARTIAL' ELSE 'UNBOUND' END AS status FROM (VALUES {literal(FOLD)}) x(t, p) GROUP BY t")
 def binding_status_fold(spark, sf_dir):
-    return graph.worst_status(values(spark, sf_dir, FOLD, "t", "s"))
+    """A binding's status from its arguments', by the engine."""
+    given = lambda t: [BoundParam(Param("ACTED_UPON", "x"), bound=p == "given", reason="" if p == "given" else f"{p}: x") for own, p in FOLD if own == t]
+    return spark.createDataFrame([(t, worst(given(t))) for t in dict(FOLD)], "t string, status string")
 
 
-URIS = "('http://a.org/x'), ('https://a.org/x/'), (' https://b.org/terms/version/T-2024-01-31'), ('http://b.org/terms/T')"
+URIS = ("http://a.org/x", "https://a.org/x/", "https://b.org/terms/version/T-2024-01-31", "http://b.org/terms/T")
 
 
-@query(f"""WITH u AS (SELECT trim(x) AS x, row_number() OVER () AS r FROM (VALUES {URIS}) t(x)), c AS (
+@query(f"""WITH u AS (SELECT x FROM (VALUES {", ".join(f"('{x}')" for x in URIS)}) t(x)), c AS (
 SELECT x, regexp_replace(regexp_replace(x, '(/terms/version/.*)-[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$', '\\1'), '/terms/version/', '/terms/') AS y FROM u),
 n AS (SELECT x, regexp_replace(regexp_replace(z, '^https?://', ''), '/$', '') AS k FROM (SELECT x, x AS z FROM c UNION SELECT x, y FROM c))
 SELECT DISTINCT a.x AS a, b.x AS b FROM n a JOIN n b ON a.k = b.k AND a.x < b.x""")
 def uri_normalise_match(spark, sf_dir):
-    return graph.uri_matches(values(spark, sf_dir, URIS, "x"))
+    """URIs that the policies' resolver holds for the same."""
+    alike = [(a, b) for a in URIS for b in URIS if a < b and any(policy.same_uri(x, y) for x in policy.candidates(a) for y in policy.candidates(b))]
+    return spark.createDataFrame(alike, "a string, b string")
+
+
+NS, RDFS_NS, TYPE_IRI = "urn:x:", policy.RDFS, policy.TYPE
 
 
-TRIPLES = "('C1', 'subClassOf', 'Issue'), ('C2', 'subClassOf', 'C1'), ('C3', 'subClassOf', 'C2'), ('X', 'subClassOf', 'Y'), ('Issue', 'subClassOf', 'C2'), ('i1', 'type', 'C3'), ('i2', 'type', 'Y')"
+def triples(rows) -> list[Triple]:
+    """Rows s, p, o: IRIs, but for objects that start with a capital and a blank, or hold one: literals."""
+    full = lambda x: x if ":" in x else NS + x
+    names = {"subClassOf": RDFS_NS + "subClassOf", "type": TYPE_IRI, "label": RDFS_NS + "label"}
+    return [Triple(full(s), names.get(p, NS + p), Term("literal", o, "", "") if " " in o else Term("iri", full(o), "", "")) for s, p, o in rows]
 
 
-@query(f"WITH RECURSIVE t AS (SELECT * FROM (VALUES {TRIPLES}) t(s, p, o)), c(n) AS (SELECT 'Issue' UNION SELECT t.s FROM t JOIN c ON t.o = c.n AND t.p = 'subClassOf') SELECT n, (SELECT count(*) FROM t WHERE p = 'type' AND o = c.n) AS instances FROM c")
+TRIPLES = (("C1", "subClassOf", "Issue"), ("C2", "subClassOf", "C1"), ("C3", "subClassOf", "C2"), ("X", "subClassOf", "Y"), ("Issue", "subClassOf", "C2"), ("i1", "type", "C3"), ("i2", "type", "Y"))
+
+
+@query(f"WITH RECURSIVE t AS (SELECT * FROM (VALUES {literal(TRIPLES)}) t(s, p, o)), c(n) AS (SELECT 'Issue' UNION SELECT t.s FROM t JOIN c ON t.o = c.n AND t.p = 'subClassOf') SELECT n, (SELECT count(*) FROM t WHERE p = 'type' AND o = c.n) AS instances FROM c")
 def subclass_closure(spark, sf_dir):
-    t = values(spark, sf_dir, TRIPLES, "s", "p", "o")
-    closed = graph.closure(t.where("p = 'subClassOf'").select("s", "o"), spark.createDataFrame([("Issue",)], "n string"))
-    own = t.where("p = 'type'").groupBy(F.col("o").alias("n")).agg(F.count(F.lit(1)).alias("instances"))
-    return closed.join(own, "n", "left").select("n", F.coalesce("instances", F.lit(0)).alias("instances"))
+    """Classes of tests below the resolver's seeds, over a cycle, and their instances."""
+    own = triples(TRIPLES)
+    g = policy.Graph(own)
+    return spark.createDataFrame([(c.removeprefix(NS), sum(t.p == TYPE_IRI and t.o.value == c and t.s in g.instances for t in own)) for c in g.classes], "n string, instances long")
 
 
-CHAIN = "('m1', 'forTest', 't1'), ('m2', 'forTest', 't2'), ('m1', 'hasSpecification', 's1'), ('s1', 'label', 'Spec one'), ('m3', 'forTest', 't1'), ('m3', 'hasSpecification', 's0')"
+CHAIN = (("m1", "forValidation", "t1"), ("m2", "forValidation", "t2"), ("m1", "hasSpecification", "s1"), ("s1", "label", "Spec one"), ("m3", "forTest", "t1"), ("m3", "hasSpecification", "s0"), ("t3-2024", "isVersionOf", "t3"), ("m4", "forTest", "t3-2024"), ("m4", "hasSpecification", "s4"))
 
 
-@query(f"WITH t AS (SELECT * FROM (VALUES {CHAIN}) t(s, p, o)) SELECT a.o AS test, a.s AS method, b.o AS specification, c.o AS label FROM t a JOIN t b ON b.s = a.s AND b.p = 'hasSpecification' LEFT JOIN t c ON c.s = b.o AND c.p = 'label' WHERE a.p = 'forTest' AND a.o IN ('t1', 't2')")
+@query(f"""WITH t AS (SELECT * FROM (VALUES {literal(CHAIN)}) t(s, p, o)), v AS (SELECT x AS test, x AS variant FROM (VALUES ('t1'), ('t2'), ('t3')) n(x) UNION SELECT o, s FROM t WHERE p = 'isVersionOf'),
+h AS (SELECT v.test, b.o AS specification, c.o AS label, row_number() OVER (PARTITION BY v.test ORDER BY CASE a.p WHEN 'forValidation' THEN 0 ELSE 1 END) AS k
+FROM v JOIN t a ON a.o = v.variant AND a.p IN ('forValidation', 'forTest') JOIN t b ON b.s = a.s AND b.p = 'hasSpecification' LEFT JOIN t c ON c.s = b.o AND c.p = 'label')
+SELECT test, specification, label FROM h WHERE k = 1""")
 def spec_chain_join(spark, sf_dir):
-    return graph.specification_chain(values(spark, sf_dir, CHAIN, "s", "p", "o"), ["t1", "t2"])
+    """The specification that the engine's index has for a test: over its versions, the specific link before the general one."""
+    index = policy.Specifications(triples(CHAIN))
+    found = [(t, *got) for t in ("t1", "t2", "t3") if (got := index.of(NS + t, "VALIDATION"))]
+    return spark.createDataFrame([(t, x.removeprefix(NS), label) for t, x, label in found], "test string, specification string, label string")
+
+
+RESPONSES = (
+    ("i1", "producesResponse", "r1"), ("i1", "producesResponse", "r2"), ("i2", "producesResponse", "r3"), ("i1", "usesSpecification", "s1"), ("i2", "usesSpecification", "s2"),
+    ("m1", "hasSpecification", "s1"), ("m2", "hasSpecification", "s2"), ("m1", "forValidation", "t1"), ("m2", "forAmendment", "t1-2024"), ("t1-2024", "isVersionOf", "t1"),
+    ("r1", "hasResponseStatus", "HAS RESULT"), ("r1", "hasResponseResult", "IS COMPLIANT"), ("r2", "hasResponseStatus", "NOT MET"), ("r3", "phase", "POST AMENDMENT"), ("r1", "appliesTo", "rec1"),
+)
+
+
+@query(f"""WITH t AS (SELECT * FROM (VALUES {literal(RESPONSES)}) t(s, p, o)), v AS (SELECT 't1' AS n UNION SELECT s FROM t WHERE p = 'isVersionOf' AND o = 't1')
+SELECT x.o AS response, st.o AS status, re.o AS result, ph.o AS phase, ap.o AS record
+FROM t x JOIN t u ON u.s = x.s AND u.p = 'usesSpecification' JOIN t h ON h.o = u.o AND h.p = 'hasSpecification' JOIN t g ON g.s = h.s AND g.p IN ('forValidation', 'forIssue', 'forMeasure', 'forAmendment') JOIN v ON v.n = g.o
+LEFT JOIN t st ON st.s = x.o AND st.p = 'hasResponseStatus' LEFT JOIN t re ON re.s = x.o AND re.p = 'hasResponseResult' LEFT JOIN t ph ON ph.s = x.o AND ph.p = 'phase' LEFT JOIN t ap ON ap.s = x.o AND ap.p = 'appliesTo'
+WHERE x.p = 'producesResponse'""")
+def response_chain(spark, sf_dir):
+    """Responses of a test and its versions, from triples: implementation, specification and method, what a response lacks being null."""
+    t = values(spark, sf_dir, literal(RESPONSES), "s", "p", "o")
+    return graph.response_chain(t, graph.version_variants(t, "t1"))
 
 
-STATS = "('f1', 'UseCase', 'u1'), ('f1', 'Policy', 'p1'), ('f1', 'Test', 't1'), ('f1', 'Test', 't1'), ('f2', 'Test', 't1'), ('f2', 'Test', 't2')"
+STATS = (("f1", "u1", "type", "UseCase"), ("f1", "p1", "hasUseCase", "u1"), ("f1", "p1", "hasTest", "t1"), ("f1", "t1", "type", "Validation"), ("f2", "t1", "type", "Validation"), ("f2", "t2", "type", "Validation"))
 
 
-@query(f"SELECT f, count(DISTINCT id) FILTER (kind = 'UseCase') AS use_cases, count(DISTINCT id) FILTER (kind = 'Policy') AS policies, count(DISTINCT id) FILTER (kind = 'Test') AS tests FROM (VALUES {STATS}) x(f, kind, id) GROUP BY ROLLUP (f)")
+@query(f"""WITH x AS (SELECT * FROM (VALUES {literal(STATS)}) x(f, s, p, o))
+SELECT f, count(DISTINCT CASE WHEN p = 'type' AND o = 'UseCase' THEN s WHEN p = 'hasUseCase' THEN o END) AS use_cases, count(DISTINCT CASE WHEN p = 'hasUseCase' THEN s END) AS policies,
+count(DISTINCT CASE WHEN p = 'type' AND o = 'Validation' THEN s WHEN p = 'hasTest' THEN o END) AS tests FROM x GROUP BY ROLLUP (f)""")
 def definition_stats(spark, sf_dir):
-    return graph.definition_stats(values(spark, sf_dir, STATS, "f", "kind", "id"))
+    """Distinct use cases, policies and tests of definitions, by file and over all files, by the engine."""
+    per, total = policy.statistics_of({f: triples([r[1:] for r in STATS if r[0] == f]) for f in dict((r[0], 0) for r in STATS)})
+    rows = [(f, x["use_cases"], x["policies"], x["tests"]) for f, x in [*per.items(), (None, total)]]
+    return spark.createDataFrame(rows, "f string, use_cases long, policies long, tests long")
 
 
 @query("""SELECT o_orderkey, coalesce(TRY_CAST(CASE WHEN regexp_matches(v, '^[+-]?[0-9]+$') THEN v END AS INTEGER), -1) AS as_int, lower(v) = 'true' AS as_boolean, regexp_matches(v, '^[+-]?[0-9]+$') = false AS bad
@@ -492,17 +556,20 @@ def run_metadata(spark, sf_dir):
     return summary.metadata(orders(spark, sf_dir))
 
 
-@query("SELECT l_orderkey AS ok, l_linenumber AS ln, count(*) AS rows, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS returned FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS record_id, count(*) AS responses, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS returned FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
 def repeated_record_ids(spark, sf_dir):
-    """Rows with equal ids keep a response each."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag")
-    flagged = items.withColumn("returned", (F.col("l_returnflag") == "R").cast("long"))
-    return flagged.groupBy(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln")).agg(F.count(F.lit(1)).alias("rows"), F.sum("returned").alias("returned")).where("rows > 1")
+    """Lines as records with their order's key for an id: rows with equal ids keep a response each."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), "l_returnflag")
+    records = execute.from_table(items, "l_orderkey", "line")
+    rule = Rule("urn:rule:returned", "", "VALIDATION", "catalogue", "returned", (Param("ACTED_UPON", "l_returnflag"),), lambda flag: execute.output("RUN_HAS_RESULT", F.when(flag == "R", "NOT_COMPLIANT").otherwise("COMPLIANT")))
+    own = bind([Test("urn:rule:returned", "VALIDATION_NOT_RETURNED")], [rule], columns=execute.terms(records)).bindings
+    r = execute.validate(records, own)
+    return r.groupBy("record_id").agg(F.count(F.lit(1)).alias("responses"), F.count_if(F.col("response_result") == "NOT_COMPLIANT").alias("returned")).where("responses > 1")
 
 
 @query(SQL + "SELECT phase, test_id, CAST(count(*) AS BIGINT) AS n FROM r WHERE phase <> 'AMENDMENT' AND rr IS NOT NULL GROUP BY ALL")
 def typed_response_counts(spark, sf_dir):
-    r = everything(spark, sf_dir, False)
+    r = per_record(spark, sf_dir)
     return r.where(fx.rdf_response_type("test_type", "response_status").isNotNull() & (F.col("test_type") != "AMENDMENT") & F.col("response_result").isNotNull()).groupBy("phase", "test_id").agg(F.count(F.lit(1)).alias("n"))
 
 
