@@ -10,31 +10,47 @@ no signature differ by at least 1 in each plain and 2 in each neighbourhood segm
 with m + d > H a shared signature is certain, and m + d - H - 1 is slack. m and d come from a cost
 model (signatures, weighed by how common short subsets are), for each band.
 
-Slack lets a record pass over signatures that tell nothing: empty subsets, and hot ones, which more than
-HOT records have. Whether a signature is passed over depends on the signature alone, so a pair misses
-only if both records have passed over more than the slack; such records join on hot signatures too,
-where hubs and rare elements keep the number of candidates small (see hot_links). Every candidate is verified exactly.
-
-Equal sets are one record throughout. Records are told by 61 bits of their sets' hash; a check looks for
-two sets with the same id, and the seed is changed if there are any.
+Candidates come in two rounds, as what is asked for is the components of the links. In the first every
+record meets the least record of each of its signatures, one pair however many share it; links make
+components. In the second only signatures are left that records of several components share. Those of
+few records give their pairs. Hot ones, which more than HOT records have, may be passed over while a
+record's slack lasts: whether one is passed over depends on the signature alone, so a pair misses only if
+both records have passed over more than the slack; such records join on hot signatures too, where hubs
+and rare elements keep the number of candidates small (see hot_links).
+
+Candidates are compared by sizes, then by counts of elements in cells of the universe (a lower bound of
+what two sets differ in), and what is left is verified on the words themselves, without hashes. Equal
+sets are one record throughout. Records are told by 61 bits of their sets' hash; a second hash of 64 bits,
+from other hashes of the words, shows two sets with the same id, and then the seed is changed. The hash of a word
+sums its bytes times random numbers, one for each place, that follow from the seed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import discard, fresh_name, written
+from plumbline.llm.common import discard, fresh_name, small_batches, written
 
 U = np.uint64
 HOT = 8
-#: Signature entries that one task groups at once (16 bytes each).
-GROUPED = 2_000_000
+#: Signature entries that a task holds before it sends them, and that a group holds on average (16 bytes each).
+HELD = 500_000
+#: Signatures of which a task has met more records at once than this are sent apart from the others.
+CROWD = 16
+#: Records that a task remembers, so that a copy's signatures aren't sent twice.
+SEEN = 50_000
+#: Bytes of text that are hashed together, and elements whose signatures are made together.
+TOGETHER, AT_ONCE = 1 << 16, 1 << 14
+#: Words of more bytes are hashed one by one.
+LONGEST = 4096
 #: Ids are broadcast up to so many, else joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Sets of hubs are broadcast up to so many elements (8 bytes each), else joined by a shuffle.
@@ -44,8 +60,6 @@ CELL_BITS = 7
 #: Cost model: how often an element is a common one, and what a signature of only common elements costs.
 COMMON, PENALTY = 0.2, 50.0
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,56 +71,145 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as far as needed."""
+def words_of(text: str) -> list[bytes]:
+    """Runs of anything but ASCII white space, A-Z lower-cased, in UTF-8."""
+    return text.encode("utf-8").lower().split()
 
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=U)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            more = max(n, 2 * len(self.up), 1 << 16)
-            ones = lambda b: np.concatenate([np.ones(1, dtype=U), np.full(more - 1, b, dtype=U)])
-            self.up, self.down = np.cumprod(ones(self.base)), np.cumprod(ones(self.inverse))
-        return self.up[:n], self.down[:n]
+@lru_cache(4)
+def weights(seed: int) -> np.ndarray:
+    """A random number for each place in a word, which follow from the seed."""
+    return np.random.Generator(np.random.Philox(key=seed)).integers(0, 1 << 64, LONGEST, dtype=U)
+
+
+def word_hashes(data: bytes, seed: int, halves: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of data starts, and one or two 64-bit hashes of it (rows): the sum of its bytes times the random
+    numbers of their places, and its length. Two words of a length have equal sums with a probability of at most 2**-56, whatever they are."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    solid = (raw != 32) & (raw - np.uint8(9) > 4)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]])))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return starts, np.zeros((halves, 0), dtype=U)
+    sizes = ends - starts
+    place = np.arange(starts[0], len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    letters = raw[starts[0] :].astype(U) + U(1)
+    # longer words are rare and get a digest each
+    far = sizes.max() > LONGEST
+    out = np.empty((halves, len(starts)), dtype=U)
+    for i in range(halves):
+        own = weights(2 * seed + i)
+        sums = np.concatenate([np.zeros(1, dtype=U), np.cumsum(letters * own[place % LONGEST if far else place])])
+        out[i] = mix((sums[ends - starts[0]] - sums[starts - starts[0]]) ^ sizes.astype(U) * U(MULTIPLIERS[0]))
+    for k in np.flatnonzero(sizes > LONGEST) if far else ():
+        word = data[starts[k] : ends[k]]
+        for i in range(halves):
+            out[i, k] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=(2 * seed + i).to_bytes(8, "little")).digest(), "little")
+    return starts, out
+
+
+def shingles(texts: list[str | None], n: int = 5, seed: int = 0, halves: int = 1) -> Iterator[np.ndarray]:
+    """Of every text, one or two 64-bit hashes (rows) of its n-word shingles in order. Fewer words than n are one shingle; none give none.
+    Texts are hashed together, TOGETHER bytes at a time."""
+    group: list[bytes] = []
+    size = 0
+    for text in texts:
+        group.append((text or "").encode("utf-8").lower())
+        size += len(group[-1])
+        if size >= TOGETHER:
+            yield from _shingles(group, n, seed, halves)
+            group, size = [], 0
+    if group:
+        yield from _shingles(group, n, seed, halves)
+
+
+def _shingles(group: list[bytes], n: int, seed: int, halves: int) -> Iterator[np.ndarray]:
+    starts, words = word_hashes(b"\n".join(group), seed, halves)
+    sizes = np.fromiter(map(len, group), dtype=np.int64, count=len(group)) + 1
+    cuts = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
+    factors = [U(pow(MULTIPLIERS[0], i + 1, 1 << 64)) for i in range(n)]
+
+    def over(h: np.ndarray, k: int) -> np.ndarray:
+        out = np.full((halves, h.shape[1] - k + 1), k, dtype=U)
+        for i in range(k):
+            out += h[:, i : h.shape[1] - k + 1 + i] * factors[i]
+        return mix(out)
+
+    every = over(words, n) if words.shape[1] >= n else None
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        yield every[:, a : b - n + 1] if b - a >= n else over(words[:, a:b], b - a) if b > a else words[:, a:a]
 
 
-POWERS = Powers(0x2545F4914F6CDD1D)
+def shingle_set(text: str | None, n: int = 5, seed: int = 0) -> np.ndarray:
+    """Sorted hashes of the distinct n-word shingles."""
+    return distinct(next(shingles([text], n, seed))[0])
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """Of each word, A-Z lower-cased: a polynomial over its bytes, all words at once by prefix sums."""
-    data = np.frombuffer(text.encode("utf-8").lower(), dtype=np.uint8)
-    solid = ~SPACE[data]
-    edge = np.diff(np.concatenate([[False], solid, [False]]).view(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(starts):
-        return np.zeros(0, dtype=U)
-    up, down = POWERS.get(len(data))
-    sums = np.concatenate([np.zeros(1, dtype=U), np.cumsum((data.astype(U) + U(1)) * up)])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(MULTIPLIERS[0]))
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats."""
+    s = np.sort(x)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
-def shingle_set(text: str | None, n: int = 5, seed: int = 0) -> np.ndarray:
-    """Sorted hashes of the distinct n-word shingles. Fewer words than n are one shingle; none give an empty set."""
-    w = word_hashes(text) if text else np.zeros(0, dtype=U)
-    if not len(w):
-        return w
-    k = min(n, len(w))
-    total = np.full(len(w) - k + 1, (seed * 0x9E3779B97F4A7C15 + k) % (1 << 64), dtype=U)
-    for i in range(k):
-        total = mix(total + w[i : len(w) - k + 1 + i] * U(MULTIPLIERS[i % 5]))
-    return np.unique(total)
-
-
-def record_id(s: np.ndarray) -> tuple[int, int]:
-    """Id of a set (61 bits, the last three bits free) and a second hash, both as signed integers."""
-    if not len(s):
-        return 0, 0
-    a = mix(np.sum(mix(s ^ U(MULTIPLIERS[1])), keepdims=True) + U(len(s)))
-    b = mix(np.sum(mix(s ^ U(MULTIPLIERS[2])), keepdims=True))
-    return int((a & ~U(7)).view(np.int64)[0]), int(b.view(np.int64)[0])
+def record_ids(sets: list[np.ndarray]) -> np.ndarray:
+    """Ids of sets: 61 bits, the last three bits free, as signed integers; 0 of empty sets."""
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    out, full = np.zeros(len(sets), dtype=np.int64), sizes > 0
+    if full.any():
+        starts = (np.cumsum(sizes) - sizes)[full]
+        out[full] = (mix(np.add.reduceat(mix(np.concatenate(sets) ^ U(MULTIPLIERS[1])), starts) + sizes[full].astype(U)) & ~U(7)).view(np.int64)
+    return out
+
+
+def described(both: list[np.ndarray]) -> pd.DataFrame:
+    """Of sets given by two hashes of their shingles: their sizes, ids, second hashes, and the numbers of their elements by cell of the universe, 127 at most."""
+    sets, others = [], []
+    for first, second in both:
+        order = np.argsort(first)
+        s = first[order]
+        new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else slice(0)
+        sets.append(s[new])
+        others.append(second[order][new])
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    other, full = np.zeros(len(sets), dtype=np.int64), sizes > 0
+    if full.any():
+        other[full] = np.add.reduceat(mix(np.concatenate(others)), (np.cumsum(sizes) - sizes)[full]).view(np.int64)
+    cell = np.repeat(np.arange(len(sets)) << CELL_BITS, sizes) + (np.concatenate(sets) >> U(64 - CELL_BITS)).astype(np.int64)
+    cells = np.minimum(np.bincount(cell, minlength=len(sets) << CELL_BITS), 127).astype(np.int8).reshape(len(sets), -1)
+    return pd.DataFrame({"n_shingles": sizes, "node": record_ids(sets), "second": other, "cells": list(cells)})
+
+
+def similar(a: str, b: str, n: int, num: int, den: int) -> bool:
+    """Whether the sets of two texts reach the similarity, by their words. Hashes come first; where they do, every step from words to shingles
+    numbers what the two texts have, one to one."""
+    p, q = (distinct(x[0]) for x in shingles([a, b], n))
+    shared = len(np.intersect1d(p, q, assume_unique=True))
+    # hashes that are equal by chance only add to what is shared, and take from what there is: a few are let pass
+    if not shared or den * (shared + 2) < num * (len(p) + len(q) - shared - 2):
+        return False
+    x, y = words_of(a), words_of(b)
+    if len(x) < n or len(y) < n:
+        return x == y and bool(x)
+    numbers: dict[bytes, int] = {}
+    for word in x + y:
+        numbers.setdefault(word, len(numbers))
+    own = [np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)) for words in (x, y)]
+    # as many words at once as fit in 63 bits
+    step = 63 // max(1, (len(x) + len(y)).bit_length())
+    grams, k = own, 1
+    while k < n:
+        more = min(step - 1, n - k)
+        longer = [g[: len(w) - k - more + 1] for g, w in zip(grams, own)]
+        for j in range(k, k + more):
+            longer = [g * (len(x) + len(y)) + w[j : j + len(g)] for g, w in zip(longer, own)]
+        k += more
+        if k < n:
+            at = np.unique(np.concatenate(longer), return_inverse=True)[1]
+            longer = [at[: len(longer[0])], at[len(longer[0]) :]]
+        grams = longer
+    p, q = distinct(grams[0]), distinct(grams[1])
+    shared = len(np.intersect1d(p, q, assume_unique=True))
+    return den * shared >= num * (len(p) + len(q) - shared)
 
 
 class Bands:
@@ -153,134 +256,176 @@ def bands_for(num: int, den: int) -> Bands:
     return Bands(num, den)
 
 
-def signatures(s: np.ndarray, own: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of one record: signature (56 bits, then the slack that empty subsets leave) and record (61
-    bits, then which band below its own, and whether the segment is a neighbourhood one)."""
-    keys, owners = [], []
+def signatures(sets: list[np.ndarray], nodes: list[int], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of records: signature (56 bits, then the slack that empty subsets leave) and record (61
+    bits, then which band below its own, and whether the segment is a neighbourhood one).
+
+    Every band that a record takes part in is a row; the segments of all rows are numbered through.
+    """
+    rows = [(i, below, band, *bands.scheme(band)) for i, s in enumerate(sets) for below, band in enumerate(bands.bands_of(len(s)))]
+    record, below, band, m, d, slack = np.array(rows, dtype=np.int64).T
+    lens = np.fromiter((len(sets[i]) for i in record), dtype=np.int64, count=len(record))
+    s, row = np.concatenate([sets[i] for i in record]), np.repeat(np.arange(len(record)), lens)
     parts = mix(s ^ U(MULTIPLIERS[3]))
-    for below, band in enumerate(bands.bands_of(len(s))):
-        m, d, slack = bands.scheme(band)
-        spread = mix(s + U(band + 1))
-        seg = (((spread >> U(32)) * U(m)) >> U(32)).astype(np.int64)
-        sums = np.zeros(m, dtype=U)
-        np.add.at(sums, seg, parts)
-        filled = np.bincount(seg, minlength=m) > 0
-        passed = int((~filled).sum()) + int((~filled[:d]).sum())
-        # a subset of one leaves an empty neighbour
-        if d:
-            passed += int((np.bincount(seg, minlength=m)[:d] == 1).sum())
-        tag = mix(np.arange(m, dtype=U) + U(band << 32))
-        use = filled if passed <= slack else np.ones(m, dtype=bool)
-        places = np.flatnonzero(use)
-        key, near = [mix(sums[places] + tag[places])], [(places < d).astype(U)]
-        if d:
-            inner = np.flatnonzero(seg < d)
-            rest = sums[seg[inner]] - parts[inner]
-            if passed <= slack:
-                keep = np.bincount(seg, minlength=m)[seg[inner]] > 1
-                inner, rest = inner[keep], rest[keep]
-            key.append(mix(rest + tag[seg[inner]]))
-            near.append(np.ones(len(inner), dtype=U))
-        left = U(min(255, max(0, slack - passed)))
-        keys.append(np.concatenate(key) & ~U(255) | left)
-        owners.append(np.full(len(keys[-1]), own, dtype=np.int64).view(U) | U(min(below, 3) << 1) | np.concatenate(near))
-    return np.concatenate(keys), np.concatenate(owners)
+    spread = mix(s + (band + 1).astype(U)[row])
+    own = (((spread >> U(32)) * m.astype(U)[row]) >> U(32)).astype(np.int64)
+    seg = (np.cumsum(m) - m)[row] + own
+    total = int(m.sum())
+    sums = np.zeros(total, dtype=U)
+    np.add.at(sums, seg, parts)
+    count = np.bincount(seg, minlength=total)
+    of = np.repeat(np.arange(len(record)), m)
+    place = np.arange(total) - (np.cumsum(m) - m)[of]
+    filled, inner = count > 0, place < d[of]
+    # a subset of one leaves an empty neighbour
+    passed = np.bincount(of, weights=~filled * (1.0 + inner) + ((count == 1) & inner), minlength=len(record)).astype(np.int64)
+    easy = passed <= slack
+    tag = mix(place.astype(U) + (band.astype(U) << U(32))[of])
+    use = np.flatnonzero(filled | ~easy[of])
+    less = np.flatnonzero((own < d[row]) & (~easy[row] | (count[seg] > 1)))
+    key = np.concatenate([mix(sums[use] + tag[use]), mix(sums[seg[less]] - parts[less] + tag[seg[less]])])
+    at = np.concatenate([of[use], row[less]])
+    left = np.clip(slack - passed, 0, 255).astype(U)
+    flags = np.minimum(below, 2).astype(U) << U(1)
+    near = np.concatenate([inner[use], np.ones(len(less), dtype=bool)]).astype(U)
+    owner = np.array(nodes, dtype=np.int64).view(U)[record] | flags
+    return key & ~U(255) | left[at], owner[at] | near
 
 
 def slim_sets(docs: DataFrame, n: int, seed: int) -> DataFrame:
-    """docs (row, t and others) without t, with n_shingles, node, second."""
+    """docs (row, t and others) without t, with n_shingles, node, second, cells."""
 
-    @F.pandas_udf("n_shingles long, node long, second long")
+    @F.pandas_udf("n_shingles long, node long, second long, cells array<tinyint>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            sets = (shingle_set(t, n, seed) for t in batch)
-            yield pd.DataFrame([(len(s), *record_id(s)) for s in sets], columns=["n_shingles", "node", "second"])
+            yield described(list(shingles(batch.tolist(), n, seed, halves=2)))
 
     return docs.withColumn("s", run("t")).drop("t").select("*", "s.*").drop("s")
 
 
 def signature_rows(docs: DataFrame, parts: int, n: int, seed: int, bands: Bands) -> DataFrame:
-    """Entries of every distinct set of a task, packed by part: part, entries."""
+    """Entries of every distinct set of a task, packed by part: part, entries.
+
+    A signature's part follows from the signature, but entries of a crowd (more than CROWD records at once) go to a part
+    of their own, past the others, and one of them, with all flags set, marks the signature in its usual part. So no part gets more than CROWD + 1
+    entries of a signature from a task, however many records have it.
+    """
     num, den = bands.num, bands.den
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, seen, keys, owners, size = bands_for(num, den), set(), [], [], 0
+        crowds, apart_from = np.zeros(0, dtype=U), parts + (TaskContext.get().partitionId() << 24)
 
         def packed() -> pd.DataFrame:
+            nonlocal crowds, apart_from
             k, o = np.concatenate(keys), np.concatenate(owners)
-            part = ((k >> U(8)) % U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            both = np.stack([k[order], o[order]], axis=1)
-            return pd.DataFrame([(p, both[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a], columns=["part", "entries"])
+            order = np.argsort(k)
+            k, o = k[order], o[order]
+            sig = k >> U(8)
+            start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            count = np.diff(np.append(start, len(sig)))
+            known = np.isin(sig[start], crowds)
+            crowded = known | (count > CROWD)
+            marks = start[crowded & ~known]
+            crowds, apart = np.union1d(crowds, sig[marks]), np.repeat(crowded, count)
+            rows = []
+            if apart.any():
+                rows.append((apart_from, np.stack([k[apart], o[apart]], axis=1).tobytes()))
+                apart_from += 1
+                o[marks] |= U(7)
+                apart[marks] = False
+                k, o = k[~apart], o[~apart]
+            # parts are runs of signatures, so one sort does
+            part = (((k >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
+            both, cuts = np.stack([k, o], axis=1), np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            rows += [(int(part[a]), both[a:b].tobytes()) for a, b in zip(cuts, np.append(cuts[1:], len(part)))]
+            return pd.DataFrame(rows, columns=["part", "entries"])
+
+        def signed() -> None:
+            nonlocal size
+            k, o = signatures([s for s, _ in fresh], [node for _, node in fresh], own)
+            keys.append(k)
+            owners.append(o)
+            size += len(k)
 
         for batch in batches:
-            for t in batch["t"]:
-                s = shingle_set(t, n, seed)
-                if not len(s):
-                    continue
-                node = record_id(s)[0]
-                if node in seen:
+            fresh, elements = [], 0
+            sets = [distinct(x[0]) for x in shingles(batch["t"].tolist(), n, seed)]
+            for s, node in zip(sets, record_ids(sets).tolist()):
+                if not len(s) or node in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(node)
-                k, o = signatures(s, node, own)
-                keys.append(k)
-                owners.append(o)
-                size += len(k)
-                if size >= GROUPED // 2:
+                fresh.append((s, node))
+                elements += len(s)
+                if elements >= AT_ONCE:
+                    signed()
+                    fresh, elements = [], 0
+                if size >= HELD:
                     yield packed()
                     keys, owners, size = [], [], 0
+            if fresh:
+                signed()
         if size:
             yield packed()
 
     return docs.select("t").mapInPandas(run, "part long, entries binary")
 
 
-def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one part: pairs of records that share a signature with few records (kind 0: a, b), and the entries of hot signatures (kind 1: signature, record, slack left, band, weight)."""
-    both = np.frombuffer(b"".join(pdf["entries"]), dtype=U).reshape(-1, 2)
-    node = both[:, 1] & ~U(7)
-    order = np.lexsort((node, both[:, 0] >> U(8)))
-    key, node, flags, left = both[order, 0] >> U(8), node[order], both[order, 1] & U(7), both[order, 0] & U(255)
-    new_key = np.concatenate([[True], key[1:] != key[:-1]])
-    new = new_key | np.concatenate([[True], node[1:] != node[:-1]])
-    key, node, flags, left, new_key = key[new], node[new], flags[new], left[new], new_key[new]
-    start = np.flatnonzero(new_key)
-    count = np.diff(np.append(start, len(key)))
-    a, b = [], []
-    few = start[(count > 1) & (count <= HOT)]
-    n_few = count[(count > 1) & (count <= HOT)]
-    for i in range(HOT):
-        for j in range(i + 1, HOT):
-            at = few[n_few > j]
-            a.append(node[at + i])
-            b.append(node[at + j])
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.zeros((0, 2), dtype=U)
-    hot = np.repeat(count > HOT, count)
-    zeros = np.zeros(len(pairs), dtype=np.int32)
-    out = pd.DataFrame({"kind": zeros, "a": pairs[:, 0].view(np.int64), "b": pairs[:, 1].view(np.int64), "slack": zeros, "below": zeros, "weight": zeros})
-    own = pd.DataFrame({"kind": np.int32(1), "a": key[hot].astype(np.int64), "b": node[hot].view(np.int64), "slack": left[hot].astype(np.int32), "below": (flags[hot] >> U(1)).astype(np.int32), "weight": (flags[hot] & U(1)).astype(np.int32) + np.int32(1)})
-    return pd.concat([out, own.astype(out.dtypes)], ignore_index=True)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) whose sets (node, elements) reach the similarity."""
-
-    sized = pairs.distinct().join(sets.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
-    sized = sized.where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").select("a", "b")
-    sized = written(sized, "sized")
-    # what two sets differ in by cell of the universe is a lower bound of what they differ in
-    cells = lambda as_node, as_cells: sets.select(F.col("node").alias(as_node), F.col("n").alias(f"n_{as_node}"), F.col("cells").alias(as_cells))
-    apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda t, v: t + v)
-    close = cells("b", "q").join(_sent(sized, sized.count()), "b").join(cells("a", "p"), "a").where(apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b")
-    close = written(close, "close")
-    n_pairs, n_sets = close.count(), sets.count()
-    own = lambda as_node, as_set: sets.select(F.col("node").alias(as_node), F.col("elements").alias(as_set))
-    second = own("b", "y").join(_sent(close, n_pairs), "b")
-    # the fewer rows are dealt out: the pairs again with their first sets, or all sets
-    both = second.join(own("a", "x").join(_sent(close, n_pairs), "a"), ["a", "b"]) if n_pairs < n_sets else second.join(own("a", "x"), "a")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("shared", shared).where(F.col("shared") * (den + num) >= num * (F.size("x") + F.size("y"))).select("a", "b")
+def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
+    """Entries of signatures that several records have: sig, node, slack (that empty subsets leave), below (which band), weight."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        both = np.frombuffer(b"".join(pdf["entries"]), dtype=U).reshape(-1, 2)
+        both = both[np.argsort(both[:, 0])]
+        sig = both[:, 0] >> U(8)
+        several = np.zeros(len(sig), dtype=bool)
+        several[1:] = sig[1:] == sig[:-1]
+        several[:-1] |= several[1:]
+        apart = pdf["part"].iloc[0] >= parts
+        both = both if apart else both[several]
+        # of few entries now: each record once
+        both = both[np.lexsort((both[:, 1], both[:, 0] >> U(8)))]
+        sig, left, node, flags = both[:, 0] >> U(8), both[:, 0] & U(255), both[:, 1] & ~U(7), both[:, 1] & U(7)
+        first = np.ones(len(sig), dtype=bool)
+        first[1:] = sig[1:] != sig[:-1]
+        new = first.copy()
+        new[1:] |= node[1:] != node[:-1]
+        sig, node, flags, left, first = sig[new], node[new], flags[new], left[new], first[new]
+        count = np.diff(np.append(np.flatnonzero(first), len(sig)))
+        shared = np.repeat((count > 1) | apart, count) & (flags != U(7))
+        sig, node, flags, left = sig[shared], node[shared], flags[shared], left[shared]
+        return pd.DataFrame({"sig": sig.astype(np.int64), "node": node.view(np.int64), "slack": left.astype(np.int32), "below": (flags >> U(1)).astype(np.int32), "weight": (flags & U(1)).astype(np.int32) + np.int32(1)})
+
+    return packed.groupBy("part").applyInPandas(run, "sig long, node long, slack int, below int, weight int")
+
+
+def close(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Those pairs (a, b) that sizes and cells leave: what two sets differ in by cell of the universe is a lower bound of what they
+    differ in."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"c_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
+    apart = F.aggregate(F.zip_with("c_a", "c_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda t, v: t + v)
+    return both.where(apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b")
+
+
+def texts_of(ids: DataFrame, base: DataFrame, nodes: DataFrame, repeats: bool) -> DataFrame:
+    """node, t for the sets (node) of ids. Rows are found by id and hash of the text, null ids too."""
+    wanted = ids.distinct().join(nodes.select("node", F.col("rep.row").alias("want"), F.col("rep.tk").alias("want_tk")), "node")
+    found = base.join(_sent(*_counted(wanted, "wanted")), F.col("row").eqNullSafe(F.col("want")) & (F.col("tk") == F.col("want_tk"))).select("node", "t")
+    return found.groupBy("node").agg(F.min("t").alias("t")) if repeats else found
+
+
+def verified(pairs: DataFrame, base: DataFrame, nodes: DataFrame, repeats: bool, n: int, num: int, den: int) -> DataFrame:
+    """Those pairs (a, b) whose sets reach the similarity, by their words."""
+    left = written(close(pairs, nodes, num, den), "close")
+    texts = written(texts_of(left.select(F.col("a").alias("node")).union(left.select("b")), base, nodes, repeats), "texts")
+    same = F.udf(lambda x, y: similar(x, y, n, num, den), "boolean")
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("t").alias(f"t_{x}"))
+    out = written(left.join(side("a"), "a").join(side("b"), "b").where(same("t_a", "t_b")).select("a", "b"), "links")
+    discard(left), discard(texts)
+    return out
 
 
 def _sent(ids: DataFrame, n: int) -> DataFrame:
@@ -319,8 +464,8 @@ def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     return each.join(counts, [*keys, "el"], "left").withColumn("at", F.row_number().over(place)).where("df is not null")
 
 
-def hot_links(hot: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Links and further candidates (a, b) among the records of hot signatures (sig, node).
+def hot_links(hot: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidates (a, b) among the records of hot signatures (sig, node), at least one path of them between any two that link.
 
     The hub of a signature is its record with the most hot signatures. E(x), what x differs from its hub h in, says all about pairs near a hub:
     x and y differ in as many elements as E(x) and E(y). Records that link to the hub are in one component, so one of a pair still
@@ -358,7 +503,7 @@ def hot_links(hot: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[Data
     # if this is the first element that the two share, no more than those behind it can follow
     rare = rare.where(f"a != b and {den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b) and (1 + least(n_a - at_a, n_b - at_b)) * {more} >= {num} * (n_a + n_b)")
     rare = rare.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return links, by_edits.union(rare).distinct()
+    return links.union(by_edits).union(rare).distinct()
 
 
 def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, num: int = 80, den: int = 100, into: str = "near") -> DataFrame:
@@ -368,66 +513,85 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     Null, empty and blank texts have an empty set, no links and themselves as component. Rows with a null id are
     in the component of their set, but are never its id. Repeated rows are documents of their own. Ties take the least id.
     """
-    out = labelled(df.select(F.col(f"`{doc_id}`").cast("long").alias("row"), F.col(f"`{text}`").alias("t")), n, num, den)
+    out = labelled(df.select(F.col(f"`{doc_id}`").alias("row"), F.col(f"`{text}`").alias("t")), n, num, den)
     return out.select("row", F.struct("n_shingles", "node", F.coalesce("component_id", "row").alias("component_id")).alias(into))
 
 
 def labelled(base: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """base (row, t and others) without t, with n_shingles, node, component_id (null where no row has an id) and comp, equal for the rows
     of a component. The last two are null for empty sets."""
-    seed = 0
-    bands = bands_for(num, den)
+    small_batches(base.sparkSession)
+    base, seed, bands = base.withColumn("tk", F.xxhash64("t")), 0, bands_for(num, den)
+    rep = F.min(F.struct(F.col("row").isNull().alias("nameless"), "row", "tk")).alias("rep")
     while True:
         slim = written(slim_sets(base, n, seed), "sets")
-        nodes = written(slim.where("n_shingles > 0").groupBy("node").agg(F.min("row").alias("rep"), F.min("second").alias("s0"), F.max("second").alias("s1"), F.min("n_shingles").alias("n0"), F.max("n_shingles").alias("n1")), "nodes")
-        if nodes.where("s0 != s1 or n0 != n1").limit(1).count() == 0:
+        nodes = written(slim.where("n_shingles > 0").groupBy("node").agg(rep, F.min("second").alias("s0"), F.max("second").alias("s1"), F.min("n_shingles").alias("n"), F.max("n_shingles").alias("n1"), F.min("cells").alias("cells")), "nodes")
+        if nodes.where("s0 != s1 or n != n1").limit(1).count() == 0:
             break
         discard(slim), discard(nodes)
         seed += 1
-    elements, = nodes.agg(F.sum("n0")).first()
-    parts = max(4, int((elements or 0) * 0.7) // GROUPED)
-    entries = signature_rows(base.where("t is not null"), parts, n, seed, bands).groupBy("part").applyInPandas(grouped, "kind int, a long, b long, slack int, below int, weight int")
-    found = written(entries, "candidates")
-    few = found.where("kind = 0").select("a", "b").distinct()
-    hot = found.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), "slack", "below", "weight")
+    # repeated rows may repeat a set
+    repeats = slim.groupBy("row", "tk").count().where("count > 1").limit(1).count() > 0
+    check = lambda pairs: verified(pairs, base, nodes, repeats, n, num, den)
+    elements, = nodes.agg(F.sum("n")).first()
+    parts = max(4, int((elements or 0) * 0.7) // HELD)
+    shared = written(shared_entries(signature_rows(base.where("t is not null"), parts, n, seed, bands), parts), "shared")
+    # first round: every record and the least of each of its signatures
+    least = shared.groupBy("sig").agg(F.min("node").alias("a"))
+    star = written(shared.join(least, "sig").where("node != a").select("a", F.col("node").alias("b")).distinct(), "star")
+    links = check(star)
+    labels = components(links)
+    # second round: signatures that several components share
+    known = shared.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = known.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("k")).where("c0 != c1").select("sig", "k")
+    open_ = written(known.join(split, "sig").join(nodes.select("node", "n"), "node"), "open")
+    discard(shared)
+    hot = open_.where(F.col("k") > HOT)
     unsafe = hot.groupBy("node", "below").agg(F.sum("weight").alias("passed"), F.min("slack").alias("slack")).where("passed > slack").select("node", "below")
-    hot = written(hot.join(unsafe, ["node", "below"], "left_semi").select("sig", "node").distinct(), "hot")
-    # the sets of all candidates, from their texts
-    wanted = written(few.select(F.col("a").alias("node")).union(few.select("b")).union(hot.select("node")).distinct().join(nodes.where("rep is not null").select("node", "rep"), "node"), "wanted")
-    ids = wanted.select(F.col("rep").alias("row"), F.col("node").alias("want"))
-    if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    left = written(hot.join(unsafe, ["node", "below"], "left_semi"), "unsafe")
+    again = left.groupBy("sig").agg(F.count(F.lit(1)).alias("k2"))
+    left = left.join(again, "sig")
+    few = open_.where(F.col("k") <= HOT).select("sig", "node", "comp", "n").union(left.where(F.col("k2") <= HOT).select("sig", "node", "comp", "n"))
+    side = lambda x: few.select("sig", F.col("node").alias(x), F.col("comp").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"))
+    asked = side("a").join(side("b"), "sig").where(f"a < b and c_a != c_b and {den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").select("a", "b").distinct()
+    crowd = written(left.where(F.col("k2") > HOT).select("sig", "node", "comp").distinct(), "hot")
+    if crowd.limit(1).count():
+        texts = texts_of(crowd.select("node"), base, nodes, repeats)
+        sets = written(elements_of(texts, n, seed), "elements")
+        own = crowd.select("node", "comp").distinct()
+        more = hot_links(crowd.select("sig", "node"), sets, num, den)
+        more = more.join(own.select(F.col("node").alias("a"), F.col("comp").alias("c_a")), "a").join(own.select(F.col("node").alias("b"), F.col("comp").alias("c_b")), "b")
+        asked = asked.union(more.where("c_a != c_b").select("a", "b")).distinct()
+    asked = written(asked.join(star, ["a", "b"], "left_anti"), "asked")
+    more = check(asked)
+    if more.limit(1).count():
+        discard(labels)
+        links = written(links.union(more), "links")
+        labels = components(links)
+    full = nodes.select("node", F.col("rep.row").alias("rep")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = full.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    named = written(full.join(least, "comp").select("node", "component_id", "comp"), "named")
+    for done in (star, links, labels, open_, left, crowd, asked, more, nodes):
+        discard(done)
+    return slim.drop("tk", "cells", "second").join(named, "node", "left")
+
+
+def elements_of(texts: DataFrame, n: int, seed: int) -> DataFrame:
+    """node, n, elements from node, t."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, size = [], 0
-            for want, t in zip(batch["want"], batch["t"]):
-                s = shingle_set(t, n, seed)
-                if record_id(s)[0] == want:  # of repeated ids with several texts, the right one
-                    cells = np.minimum(np.bincount((s >> U(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS), 127)
-                    rows.append((want, len(s), cells.astype(np.int8), s.view(np.int64)))
-                    size += len(s)
-                if size > GROUPED // 4:
-                    yield pd.DataFrame(rows, columns=["node", "n", "cells", "elements"])
+            for node, x in zip(batch["node"], shingles(batch["t"].tolist(), n, seed)):
+                s = distinct(x[0])
+                rows.append((node, len(s), s.view(np.int64)))
+                size += len(s)
+                if size > HELD:
+                    yield pd.DataFrame(rows, columns=["node", "n", "elements"])
                     rows, size = [], 0
-            yield pd.DataFrame(rows, columns=["node", "n", "cells", "elements"])
-
-    found_sets = base.join(ids, "row").select("want", "t").mapInPandas(sets_of, "node long, n long, cells array<tinyint>, elements array<long>")
-    if slim.groupBy("row").count().where("count > 1").limit(1).count():  # repeated ids may repeat a set
-        found_sets = found_sets.dropDuplicates(["node"])
-    sets = written(found_sets, "elements")
-    links = written(verified(few, sets, num, den), "links")
-    if hot.limit(1).count():
-        by_hub, asked = hot_links(hot, sets, num, den)
-        more = written(asked.join(few, ["a", "b"], "left_anti"), "asked")
-        links = written(links.union(by_hub).union(verified(more, sets, num, den)).distinct(), "links")
-    labels = components(links)
-    full = nodes.select("node", "rep").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = full.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = written(full.join(least, "comp").select("node", "component_id", "comp"), "named")
-    out = slim.join(named, "node", "left")
-    discard(sets), discard(found)
-    return out
+            yield pd.DataFrame(rows, columns=["node", "n", "elements"])
+
+    return texts.mapInPandas(run, "node long, n long, elements array<long>")
 
 
 def op2(docs: DataFrame) -> DataFrame:
@@ -440,7 +604,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **p
     """docs with one document of each component; documents without shingles stay. It is the one with the least id, null ids last; of rows
     with that id (or of null ids) the one with the least MD5 of id and text. Texts that aren't near copies each keep a row, whatever their ids."""
     key = fresh_name(docs, "key")
-    row, t = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")
+    row, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     # known for every row, null ids too: a digest of id and text
     marked = docs.withColumn(key, F.unhex(F.md5(F.concat(F.coalesce(row.cast("string"), F.lit("")), F.lit("|"), F.coalesce(t, F.lit(""))).cast("binary"))))
     near = labelled(marked.select(row.alias("row"), t.alias("t"), F.col(key).alias("key")), **params)
