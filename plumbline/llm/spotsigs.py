@@ -1,6 +1,6 @@
 """Document fingerprints by SpotSigs.
 
-Common words are anchors. An anchor with the chain of content words that follows it is a spot signature; the set of a
+Common words are anchors. An anchor with the chain of content words that follows it, common words skipped, is a spot signature; the set of a
 text's signatures, hashed, is its fingerprint. In a text without anchors, chains start at every word. Sets are compared by their Jaccard similarity. For near duplicates,
 sets are partitioned by length, so that only neighbouring partitions can hold partners, and only pairs that share
 one of their rarest signatures are compared.
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import with_rank, written
+from plumbline.llm.pii import running
 from plumbline.llm.sharding import let
 
 #: Common words of English, French, German and Spanish.
@@ -24,9 +25,8 @@ ANCHORS = (
     "der die und den von das ist im mit für ein sich auf nicht "
     "el los las y se por con para es una"
 ).split()
+#: Content words of a chain, wherever the next ones stand.
 CHAIN = 2
-#: A chain reaches over at most so many further anchors.
-REACH = 2
 
 
 def chains(words: Column) -> Column:
@@ -57,16 +57,18 @@ def signatures(text: Column) -> Column:
 
     def spots(marked: Column) -> Column:
         def of(pieces: Column) -> Column:
-            content = F.transform(pieces, lambda p: F.substring_index(p, "\x02", -1))
+            """pieces: each an anchor and the content words up to the next one."""
+            own = F.transform(pieces, lambda p: F.filter(F.split(F.substring_index(p, "\x02", -1), " "), lambda w: w != ""))
 
-            def hashed(content: Column) -> Column:
-                def one(p: Column, i: Column) -> Column:
-                    following = F.concat(content[i], *(F.coalesce(F.get(content, i + k), F.lit("")) for k in range(1, REACH + 1)))
-                    return F.xxhash64(F.substring_index(p, "\x02", 1), F.rtrim(F.substring_index(following, " ", CHAIN + 1)))
+            def chained(own: Column) -> Column:
+                def hashed(content: Column, at: Column) -> Column:
+                    chain = lambda i: F.concat_ws(" ", *(F.get(content, F.get(at, i) + k) for k in range(CHAIN)))
+                    return F.transform(pieces, lambda p, i: F.xxhash64(F.substring_index(p, "\x02", 1), chain(i)))
 
-                return F.transform(pieces, one)
+                # where the content words after each anchor begin, among all
+                return let(F.flatten(own), lambda content: let(let(F.transform(own, F.size), running), lambda at: hashed(content, at)))
 
-            return let(content, hashed)
+            return let(own, chained)
 
         found = let(F.split(marked, "\x01"), lambda p: let(F.slice(p, F.lit(2), F.size(p) - 1), of))
         every = told_by_count(let(F.split(F.trim(marked), " "), chains))
@@ -76,8 +78,13 @@ def signatures(text: Column) -> Column:
 
 
 def fingerprint(signatures: Column) -> Column:
-    """The number of signatures and a digest of them: equal for equal sets."""
-    return F.concat(F.size(signatures).cast("string"), F.lit("-"), F.md5(F.array_join(F.transform(signatures, lambda s: s.cast("string")), ",").cast("binary")))
+    """The signatures, in order, as hexadecimal text: equal for equal sets, and two of them tell the likeness of what they stand for."""
+    return F.lower(F.array_join(F.transform(signatures, F.hex), ","))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """The Jaccard similarity of two fingerprints."""
+    return jaccard(F.split(a, ","), F.split(b, ","))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -98,7 +105,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", l
     the one below. In each only the rarest signatures are joined, as many as a partner cannot do without.
     """
     own = df.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("id"), signatures(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("sigs"))
-    own = written(own.withColumn("print", fingerprint(F.col("sigs"))), "spots")
+    own = written(own.withColumn("print", F.sha2(fingerprint(F.col("sigs")), 256)), "spots")
     heads = own.groupBy("print").agg(F.min("id").alias("rep"))
     members = own.select("id", "print").join(heads, "print").select(F.col("id").alias(doc_id), F.col("rep").alias("representative"))
     one = own.join(heads, (F.col("id") == F.col("rep")) & (own["print"] == heads["print"])).select("rep", "sigs").dropDuplicates(["rep"])
@@ -122,7 +129,8 @@ def op1(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures of every document.
 
     The next document comes from the row's bucket of ids; the last row of a bucket gets the first of the next filled bucket,
-    that of the last the first of all. Texts are shuffled once. Null ids come first; repeated ids follow each other by a hash of their texts.
+    that of the last the first of all. Texts are shuffled once. Null ids come first; repeated ids follow each other by a hash of their texts. A null or
+    empty text has one signature. Very long texts are fingerprinted whole. An empty table gives an empty result; a lone document is its own next.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     key = F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(-(2**60)))
