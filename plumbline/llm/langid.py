@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fresh_name, held_out
+from plumbline.llm.common import fresh_name, held_out, small_batches
 
 UNKNOWN = "und"
 WIDTHS = (2, 3, 4)
@@ -105,20 +105,27 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], length: int = 256, filters: int = 8, dim: int = 8, windows_per_text: int = 3, steps: int = 900, batch: int = 64, seed: int = 7) -> Model | None:
-    """By Adam on cross-entropy over windows of the texts. Windows lie at random places of a text, so
-    none of its parts is preferred. The same texts in the same order give the same model; no text gives none."""
+def cut(data: bytes, n: int, length: int, seed: int) -> list[bytes]:
+    """n windows at random places of a text, so that none of its parts is preferred; two of five are shorter, as short texts are padded."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        at = int(rng.integers(0, max(1, len(data) - length // 2)))
+        size = length if rng.random() < 0.6 else int(rng.integers(12, length))
+        out.append(data[at : at + size])
+    return out
+
+
+def train(texts: list[str], langs: list[str], length: int = 256, windows_per_text: int = 3, seed: int = 7, **params) -> Model | None:
+    """From windows of the texts."""
+    pairs = [(la, w) for i, (t, la) in enumerate(zip(texts, langs)) for w in cut(t.encode("utf-8").translate(FOLD), windows_per_text, length, seed + i)]
+    return train_on(pairs, length=length, seed=seed, **params)
+
+
+def train_on(pairs: list[tuple[str, bytes]], length: int = 256, filters: int = 8, dim: int = 8, steps: int = 900, batch: int = 64, seed: int = 7) -> Model | None:
+    """By Adam on cross-entropy over windows (language, bytes). The same windows in the same order give the same model; none give none."""
     rng = np.random.default_rng(seed)
-    names = sorted(set(langs))
-    windows, labels = [], []
-    for text, lang in zip(texts, langs):
-        data = text.encode("utf-8").translate(FOLD)
-        for _ in range(windows_per_text):
-            at = int(rng.integers(0, max(1, len(data) - length // 2)))
-            # shorter windows too, as short texts are padded
-            size = length if rng.random() < 0.6 else int(rng.integers(12, length))
-            windows.append(data[at : at + size].ljust(length, b"\0"))
-            labels.append(names.index(lang))
+    names = sorted({la for la, _ in pairs})
+    windows, labels = [w.ljust(length, b"\0") for _, w in pairs], [names.index(la) for la, _ in pairs]
     if not names:
         return None
     x, y = np.frombuffer(b"".join(windows), dtype=np.uint8).reshape(-1, length), np.array(labels)
@@ -160,19 +167,28 @@ def train(texts: list[str], langs: list[str], length: int = 256, filters: int =
     return Model(names, length, p["emb"].astype("f4"), [p[f"w{w}"].astype("f4") for w in WIDTHS], p["bias"].astype("f4"), p["dense"].astype("f4"), p["dense_bias"].astype("f4"))
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = 2000, **params) -> Model | None:
-    """Learns from at most `sample` labelled documents (null languages and texts and held-out documents
+def windows(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = 2000, windows_per_text: int = 3, length: int = 256) -> list[tuple[str, bytes]]:
+    """Windows of at most `sample` labelled documents (null languages and texts and held-out documents
     are left out), those whose ids have the least hashes: a bounded sample that does not depend on the
-    order or the partitions of the rows. The ids are chosen first, so no more than `sample` texts
-    reach the driver. Of repeated ids the rows after the first in text order are not used."""
+    order or the partitions of the rows. The ids are chosen first and the executors cut the windows, so no more than sample * windows_per_text
+    * length bytes reach the driver. Of repeated ids the rows after the first in text order are not used."""
     known = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l"))
     known = known.where(F.col("i").isNotNull() & F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out("i"))
     chosen = known.select("i", F.xxhash64("i").alias("h")).distinct().orderBy("h", "i").limit(sample).select("i")
-    rows = known.join(F.broadcast(chosen), "i", "left_semi").groupBy("i").agg(F.min(F.struct("t", "l")).alias("r")).orderBy("i").collect()
-    return train([r["r"]["t"] for r in rows], [r["r"]["l"] for r in rows], **params)
+    first = known.join(F.broadcast(chosen), "i", "left_semi").groupBy("i").agg(F.min(F.struct("t", "l")).alias("r")).select("i", "r.t", "r.l", F.xxhash64("i").alias("h"))
+
+    @F.pandas_udf("array<binary>")
+    def run(texts: pd.Series, seeds: pd.Series) -> pd.Series:
+        return pd.Series([cut(t.encode("utf-8").translate(FOLD), windows_per_text, length, h & 0x7FFFFFFF) for t, h in zip(texts, seeds)])
+
+    rows = first.select("i", "l", run("t", "h").alias("w")).orderBy("i").collect()
+    return [(r["l"], bytes(w)) for r in rows for w in r["w"]]
 
 
-_tables: dict[int, Tables] = {}
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = 2000, windows_per_text: int = 3, length: int = 256, **params) -> Model | None:
+    """Learns from `windows_per_text` windows of each of at most `sample` documents."""
+    small_batches(docs.sparkSession)
+    return train_on(windows(docs, text, lang, doc_id, sample, windows_per_text, length), length=length, **params)
 
 
 def with_language(df: DataFrame, model: Model | None, text: str = "text", into: str = "language") -> DataFrame:
@@ -193,7 +209,9 @@ def with_language(df: DataFrame, model: Model | None, text: str = "text", into:
 
 
 def op4(docs: DataFrame, **params) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document."""
+    """doc_id, held_out, lang_pred, score of every document. A null or empty text, or one without a letter, is und with score 0; equal probabilities give
+    the first language by name; repeated rows are predicted each. Very long texts are read to their end, in windows. An empty table gives an empty result."""
+    small_batches(docs.sparkSession)
     own = docs.select("doc_id", "text")
     into = fresh_name(own, "language")
     out = with_language(own, fit(docs, **params), into=into)
