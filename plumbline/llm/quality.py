@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fresh_name, held_out
+from plumbline.llm.common import fresh_name, held_out, small_batches
 from plumbline.llm.fertility import SYMBOLS, find_words, repeated_words
 
 THRESHOLD = 0.3
@@ -27,7 +27,8 @@ FEATURES = ("log_words", "word_length", "long_word", "distinct", "top_word", "sy
 
 
 def features(text: str | None) -> list[float]:
-    """Of the whole text; a null text counts as empty."""
+    """Of the whole text; a null text counts as empty. The longest word counts up to 40 characters and the words of a line up to 100 on average, so
+    that neither stretches the scale; symbols and exclamation marks count up to one for each word."""
     t = text or ""
     words = find_words(t)
     n, chars = max(1, len(words)), max(1, len(t))
@@ -118,7 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, text: str = "tex
     known = labels.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{label}`").alias("q")).where("i is not null and q is not null").where(~held_out("i"))
     chosen = known.groupBy("i").agg(F.min("q").alias("q")).orderBy(F.xxhash64("i"), "i").limit(sample)
     rows = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t")).join(F.broadcast(chosen), "i")
-    got = with_features(rows, "t", "f").select("i", "q", "f").dropDuplicates(["i"]).orderBy("i").collect()
+    # of repeated ids the least text
+    rows = rows.groupBy("i").agg(F.min("q").alias("q"), F.min("t").alias("t"))
+    got = with_features(rows, "t", "f").select("i", "q", "f").orderBy("i").collect()
     if not got:
         return None
     return train(np.array([r["f"] for r in got]), np.array([r["q"] for r in got]))
@@ -140,7 +143,9 @@ def with_quality(df: DataFrame, model: Ranker | None, text: str = "text", into:
 
 
 def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
+    """doc_id, held_out, score, predicted of every document. Null and empty texts have a score; rows with repeated or null ids are scored each; equal texts
+    have equal scores. Very long texts are read whole. Without labels of both kinds every score is 0.5. An empty table gives an empty result."""
+    small_batches(docs.sparkSession)
     own = docs.select("doc_id", "text")
     into = fresh_name(own, "quality_score")
     out = with_quality(own, fit(docs, labels), into=into)
