@@ -69,7 +69,7 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.fertility import op9
 
-    return op9(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return op9(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
