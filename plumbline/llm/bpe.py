@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fresh_name
+from plumbline.llm.common import fresh_name, small_batches
 
 #: The pattern that splits text before byte-level merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -29,8 +29,10 @@ LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 OTHER_SPACE = re.compile(r" (?:\s|\Z)|\s ").search
 SHORT = 64
 NONE = 1 << 30
-#: Words kept with their ids by each worker; beyond that the memory starts anew.
-REMEMBERED = 400_000
+#: Words kept with their ids by each worker (about 200 bytes each); beyond that the memory starts anew.
+REMEMBERED = 150_000
+#: Ids that a worker holds before it sends them on.
+HELD = 1_000_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -150,8 +152,10 @@ def with_tokens(df: DataFrame, vocabulary_path: str, text: str = "text", into: s
 
     A null text counts as empty: no ids, decoded to the empty text. Repeated rows stay; other
     columns pass through; a column that is named as `into` is replaced. The vocabulary is read on the
-    driver and broadcast: it is a file of fixed size.
+    driver and broadcast: it is a file of fixed size. An empty table gives an empty result. A very long text is a row like
+    others: a worker holds its ids and no more than HELD ids of other texts.
     """
+    small_batches(df.sparkSession)
     with open(vocabulary_path, encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
@@ -159,14 +163,19 @@ def with_tokens(df: DataFrame, vocabulary_path: str, text: str = "text", into: s
     @F.pandas_udf(fields)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = loaded(shared.value)
+        names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids + ["decoded"] * decoded
         for batch in texts:
-            rows = []
+            rows, held = [], 0
             for t in batch:
                 got = bpe.encode(t or "")
                 back = bpe.decode(got)
                 row = [len(got) // 4, hashlib.sha256(got).hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest()]
                 rows.append(row + [np.frombuffer(got, dtype="<i4")] * ids + [back] * decoded)
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids + ["decoded"] * decoded)
+                held += len(got) // 4
+                if held > HELD:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     return df.withColumn(into, run(F.col(f"`{text}`")))
 

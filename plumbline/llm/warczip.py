@@ -241,7 +241,9 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def op7(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as the archives give them back."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as the archives give them back. A null or empty page is a response
+    without payload; rows with repeated or null ids have a record each; of equal payloads the least id is the response, and very long ones are read back
+    in ranges, whole. An empty table gives an empty result."""
     kind = pages.schema["page_id"].dataType
     out = read_archives(write_archives(pages), payloads=False)
     return out.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))
