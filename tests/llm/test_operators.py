@@ -47,13 +47,7 @@ def spots(t):
     w, common, out = regex.sub(r"[^\p{L}\p{N}]+", " ", t.lower()).split(), set(spotsigs.ANCHORS), set()
     for i, x in enumerate(w):
         if x in common:
-            chain, over = [], 0
-            for y in w[i + 1 :]:
-                over += y in common
-                if over > spotsigs.REACH or len(chain) == spotsigs.CHAIN:
-                    break
-                chain += [y] if y not in common else []
-            out.add((x, *chain))
+            out.add((x, *[y for y in w[i + 1 :] if y not in common][: spotsigs.CHAIN]))
     return frozenset(out) or frozenset([tuple(w)])
 
 
@@ -97,6 +91,12 @@ def test_op1_texts_without_anchors(table):
     assert {(r.a, r.b) for r in pairs.collect()} == {(0, 1)} and {r.doc_id: r.representative for r in members.collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
 
 
+def test_op1_fingerprints_tell_the_likeness(table, rows):
+    texts = [r.text for r in rows[:40]] + ["the of and the of a man of the world", "", "the " * 50_000 + "end"]
+    got = spotsigs.op1(table(texts)).withColumn("told", spotsigs.likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).collect()
+    assert all(r.told == pytest.approx(r.near_edited) for r in got) and len(got) == 43
+
+
 def test_op1_edges(table):
     assert spotsigs.op1(table([])).count() == 0
     assert spotsigs.op1(table(["a", "a", "b"], [1, 1, None])).count() == 3
@@ -163,7 +163,7 @@ def test_op2_schemes_never_miss():
         s = np.unique(np.concatenate([r[rng.integers(0, n // 4 + 1) :], pool[n : n + rng.integers(0, n // 4 + 1)]]))
         shared = len(np.intersect1d(r, s))
         if len(s) and 100 * shared >= 80 * (len(r) + len(s) - shared):
-            a, b = (set((setjoin.signatures(x, 8, bands)[0] >> np.uint64(8)).tolist()) for x in (r, s))
+            a, b = (set((setjoin.signatures([x], [8], bands)[0] >> np.uint64(8)).tolist()) for x in (r, s))
             assert a & b
 
 
@@ -175,6 +175,64 @@ def test_op2_edges(table):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 7, 8] and len(kept.columns) == 9
 
 
+def test_op2_words_are_told_apart(table):
+    """Words whose polynomials modulo 2**64 are equal for every odd base (Thue and Morse) are different words."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    got = by_id(setjoin.op2(table([f"p q r s {a}", f"p q r s {b}", f"p q r s {a.upper()}"])))
+    assert [got[i][0].component_id for i in range(3)] == [0, 1, 0]
+
+
+def test_similar_equals_brute_force():
+    r = random.Random(1)
+    for _ in range(2000):
+        a = [r.choice("abcdefgh") for _ in range(r.randrange(60))]
+        b = [x if r.random() < 0.95 else r.choice("abcXYé") for x in a][: r.choice([60, 60, 40, 3])]
+        a, b = " ".join(a), "\n".join(b)
+        x, y = shingles(a), shingles(b)
+        assert setjoin.similar(a, b, 5, 80, 100) == (bool(x and y) and 100 * len(x & y) >= 80 * len(x | y))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_op2_hot_edit_and_far_family(table, monkeypatch, small):
+    """Copies of one text that share an edit, and a family whose members mostly lie below the similarity; with tables sent by either way."""
+    if small:
+        for name, value in {"BROADCAST_IDS": 1, "BROADCAST_ELEMENTS": 1, "HELD": 2000, "CROWD": 2, "SEEN": 3, "TOGETHER": 3000, "AT_ONCE": 1000}.items():
+            monkeypatch.setattr(setjoin, name, value)
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    base, texts = [r.choice(words) for _ in range(150)], []
+    for i in range(160):  # edits of their own and one that all share
+        b = list(base)
+        b[70] = "common"
+        for _ in range(r.choice([0, 1, 2, 3])):
+            b[r.randrange(len(b))] = r.choice(words)
+        texts.append(" ".join(b))
+    for i in range(80):  # a family around the similarity
+        b = list(base)
+        for _ in range(r.choice([3, 4, 5, 6])):
+            b[r.randrange(len(b))] = r.choice(words[:40])
+        texts.append(" ".join(b))
+    r.shuffle(texts)
+    ids = r.sample(range(10**6), len(texts))
+    want, sizes = components(texts, ids)
+    got = by_id(setjoin.op2(table(texts, ids)))
+    assert [got[i][0].component_id for i in ids] == want and [got[i][0].n_shingles for i in ids] == sizes
+
+
+def test_op2_null_and_text_ids(spark, table):
+    """A row without an id links others; ids of any type that has an order will do."""
+    word = [f"w{i}" for i in range(120)]
+    bridge = word[:50] + ["x"] + word[51:]
+    texts = [" ".join(bridge[:20] + ["y"] + bridge[21:]), " ".join(bridge), " ".join(word[:50] + ["x"] + word[51:80] + ["z"] + word[81:])]
+    assert components(texts, [0, 1, 2])[0] == [0, 0, 0]
+    got = setjoin.op2(table(texts, [4, None, 3])).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 3), (3, 3), (4, 3)]
+    named = spark.createDataFrame([("b", texts[0]), ("a", texts[1]), ("c", "other")], "doc_id string, text string")
+    assert sorted((r.doc_id, r.component_id) for r in setjoin.op2(named).collect()) == [("a", "a"), ("b", "a"), ("c", "c")]
+
+
 def test_one_of_each_keeps_a_row_of_every_component(table):
     word = [f"w{i}" for i in range(100)]
     a, b, c = " ".join(word[:40]), " ".join(word[40:70]), " ".join(word[70:])
@@ -234,6 +292,15 @@ def test_without_rejected_keeps_texts_where_nothing_can_be_learned(table):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1] and "language" in kept.columns
 
 
+def test_op4_training_windows_are_cut_by_the_executors(table):
+    """No more than a few windows of a text reach the driver, the same in every run, whatever the rows' order; repeated rows change nothing."""
+    texts = [f"{'abc ' * 3000}{i}" for i in range(30)] + [f"{'xyz ' * 9000}{i}" for i in range(30)]
+    df = table(texts, list(range(60)), langs=["a"] * 30 + ["x"] * 30)
+    got = langid.windows(df, sample=20, windows_per_text=3, length=64)
+    assert len(got) == 60 and all(len(w) <= 64 for _, w in got) and {la for la, _ in got} == {"a", "x"}
+    assert got == langid.windows(df.union(df).repartition(7), sample=20, windows_per_text=3, length=64)
+
+
 def test_op4_windows_cover_the_whole_text():
     model = langid.train(["abab " * 50, "xyxy " * 50], ["a", "x"], length=32, steps=200)
     (_, few), (lang, score) = model.tables().predict(["xyxy " * 3, "abab " * 2 + "xyxy " * 200])
@@ -278,6 +345,38 @@ def test_op5_learns_from_contexts(table):
     assert all(got[i][0].spans == "phone:10:19" and got[i][0].n_phone == 0 for i in range(20, 25)) and all(got[i][0].spans == "" for i in range(25, 28))
 
 
+def test_op5_groups_of_digits_secrets_and_rounds(table):
+    secret = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(12)]
+    texts = [f"dial +1 (555) 555-{1000 + i} please" for i in range(60)] + ["dial 020 7946 0958 please", "dial 020 7946 0958, thanks"]
+    texts += [f'|  token = "{x}" |' for x in secret] + ['| token = "short12" |']
+    # "fax" stands beside identifiers that only the first round finds
+    texts += [f"dial 0300 44{i} {i}77" for i in range(6)] + [f"fax 0300 44{i} {i}77" for i in range(6)] + ["fax 0411 44 999", "room 7777 open"]
+    # without words before, the word after tells
+    texts += [f"+1 (555) 777-{1000 + i} answers" for i in range(10)] + ["0411 44 111 answers"]
+    got = [r[0].spans for _, r in sorted(by_id(pii.op5(table(texts))).items())][40:]
+    assert got[20:22] == ["phone:5:18"] * 2
+    assert got[22:34] == ["secret:12:52"] * 12 and got[34] == "secret:11:18"
+    assert got[35:41] == ["phone:5:17"] * 6 and got[41:47] == ["phone:4:16"] * 6 and got[47:49] == ["phone:4:15", ""] and got[59] == "phone:0:11"
+
+
+def test_op5_finds_the_planted_secrets(spark):
+    """Recall of identifiers that have no base expression, and no added span elsewhere."""
+    docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
+    got = {r.doc_id: r for r in pii.op5(docs).collect()}
+    planted = {r.doc_id: [(m.start(1), m.end(1)) for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or "", re.I)] for r in docs.collect()}
+    found = sum(f"secret:{a}:{b}" in got[i].spans.split(",") for i, x in planted.items() for a, b in x)
+    assert found == sum(map(len, planted.values())) > 5 and all(got[i].n_added == len(x) for i, x in planted.items())
+
+
+def test_op5_long_texts_and_redaction(table):
+    """Texts of a megabyte, of numbers, spans, or secrets, are read whole."""
+    texts = ["12 " * 350_000, "1.1.1.1 x" * 20_000, "a@b.co " * 20_000, "x1,, " * 100_000, 'token = "abcdefgh12345678" ' * 5_000]
+    found = by_id(pii.op5(table(texts)))
+    assert found[1][0].n_ip == found[2][0].n_email == 20_000 and len(found[4][0].spans.split(",")) == 5_000
+    clean = by_id(pii.redacted(table(texts[1:3])))
+    assert clean[0][0].text == "[IP] x" * 20_000 and clean[1][0].text == "[EMAIL] " * 20_000
+
+
 def test_op5_redaction(table):
     texts = ["mail a@b.co, 10.0.0.1 é", None, "clean"]
     got = by_id(pii.redacted(table(texts)))
@@ -299,6 +398,7 @@ def test_hilbert_curve_visits_every_cell_by_neighbours(spark, n, bits):
 
 @pytest.mark.parametrize("n", [0, 5, 24, 101])
 def test_op6(table, n):
+    """Law, slots, and equal texts side by side, whatever their sources; texts of null ids are rows as any other."""
     texts = [ODD[i % len(ODD)] for i in range(n)]
     got = sharding.op6(table(texts, sources=[None if i % 7 == 0 else f"s{i % 3}" for i in range(n)])).collect()
     assert len(got) == n
@@ -312,6 +412,36 @@ def test_op6(table, n):
             assert sorted(r.slot for r in got if r.shard == shard) == list(range(counts[shard]))
 
 
+def test_op6_rows_and_files(spark, table, tmp_path):
+    """Rows in the order of the curve, equal texts together, and files that a reader prunes by every dimension."""
+    r = random.Random(3)
+    texts = [" ".join("w" * r.randrange(1, 200)) + f" {i}" for i in range(900)] + ["same text"] * 60
+    langs, sources = [r.choice(["de", "en", "fr", None]) for _ in texts], [r.choice("abcdefgh") for _ in texts]
+    df = table(texts, [*range(940), *[None] * 20], sources, langs)
+    got = sharding.op6(df)
+    rows = got.collect()
+    order = sorted(rows, key=lambda x: (x.shard, x.slot))
+    assert [x.hilbert for x in order] == sorted(x.hilbert for x in order)
+    same = [i for i, x in enumerate(order) if x.text_crc32 == zlib.crc32(b"same text")]
+    assert len(same) == 60 and same == list(range(same[0], same[0] + 60))
+    named = df.where("doc_id is not null")
+    sharding.write_shards(named, str(tmp_path / "shards"), "doc_id", got.where("doc_id is not null"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == 940 and set(named.columns) < set(back.columns)
+    # a value of a dimension lies in fewer shards than by chance
+    for column, share in (("lang", 0.6), ("source", 0.75)):
+        spread = back.groupBy(column).agg(F.count_distinct("shard").alias("n"), F.count(F.lit(1)).alias("rows")).where("rows > 60").collect()
+        assert np.mean([x.n for x in spread]) < share * 24
+
+
+def test_op6_cells_are_quantiles(table):
+    """A common value has cells of its own; more values than cells are dealt out by their order."""
+    df = table(["x"] * 400, sources=[f"s{i % 100:02d}" for i in range(400)], langs=["en"] * 200 + ["de"] * 100 + ["fr"] * 100)
+    got = sharding.quantised(df, {"x_lang": F.col("lang"), "x_source": F.col("source")}, 4).collect()
+    assert {(r.lang, r.x_lang) for r in got} == {("de", 0), ("en", 4), ("fr", 12)}
+    assert all(r.x_source == int(r.source[1:]) * 16 // 100 for r in got)
+
+
 # 7 ---------------------------------------------------------------------------------------------------
 
 
@@ -412,6 +542,41 @@ def test_op9_base_measures(table, rows):
         assert x.base_failed == (len(w) < 50 or 100 * len(marked) > 50 * len(w)) and not (x.base_failed and x.kept)
 
 
+def test_op9_fertility_equals_brute_force(table, rows):
+    """Every measure under both vocabularies, from the libraries' own encoders."""
+    import base64
+
+    import sentencepiece
+    import tiktoken
+
+    paths = [public_tokenizers.path(x) for x in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")]
+    pieces = sentencepiece.SentencePieceProcessor(model_file=paths[0])
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(paths[1], "rb"))}
+    levels = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    part = {i for b, i in ranks.items() if "\ufffd" in b.decode("utf-8", "replace")}
+    texts = ODD + [x.text for x in rows[:40]] + ["日本語 テキスト です", "a\u00a0b c\x1cd"]
+    got = by_id(fertility.op9(table(texts), *paths))
+    for i, t in enumerate(texts):
+        words, (x,) = re.findall(r"[^\x20\x09-\x0D]+", t or ""), got[i]
+        for ids, is_byte, own in (
+            ([k for w in words for k in pieces.encode(w)], pieces.is_byte, (x.n_tokens, x.chars_per_token, x.byte_share, x.token_entropy)),
+            ([k for w in words for k in levels.encode_ordinary(" " + w)], part.__contains__, (x.second_n_tokens, x.second_chars_per_token, x.second_byte_share, x.second_token_entropy)),
+        ):
+            n, share = len(ids), [c / len(ids) for c in Counter(ids).values()]
+            want = (n, sum(map(len, words)) / n, sum(map(is_byte, ids)) / n, -sum(p * np.log2(p) for p in share)) if n else (0, 0, 0, 0)
+            assert own == pytest.approx(want)
+        own = tuple(x[f"{p}{m}"] for p in ("", "second_") for m in fertility.MEASURES)
+        assert x.kept == (not x.base_failed and fertility.within(x.script, *own[:4], fertility.BANDS, "en", own[4:]))
+
+
+def test_op9_second_vocabulary_rejects_more(spark):
+    d, paths = "/root/testdata/sf0.01", [public_tokenizers.path(x) for x in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")]
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    own = [(marks[r.doc_id], r.kept) for r in fertility.op9(spark.read.parquet(f"{d}/documents.parquet"), *paths).where("not base_failed").collect() if r.doc_id in marks]
+    good, bad = [k for q, k in own if q == 1], [k for q, k in own if q == 0]
+    assert len(bad) > 10 and np.mean(bad) < 0.1 and np.mean(good) > 0.95
+
+
 def test_op9_bands(table):
     words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrt"]
     strange = " ".join("" + w for w in words)  # private use: bytes only
@@ -447,6 +612,20 @@ def test_op10_held_out(spark):
     assert np.mean([q == p for q, _, p in own]) > 0.9 and all(p == (s >= 0.3) for _, s, p in own)
 
 
+def test_op10_equals_brute_force(spark, table, rows):
+    """Scores of the model that it learns, by plain arithmetic; repeated ids with several texts give the same in every run."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model, got = quality.fit(docs, labels), by_id(quality.op10(docs, labels))
+    for r in rows[:60]:
+        z = np.clip((np.array(quality.features(r.text)) - model.mean) / model.scale, -6, 6)
+        raw = np.concatenate([z, z * z, np.maximum(z - 1, 0), np.maximum(-z - 1, 0)]) @ model.weights
+        want = 1 / (1 + np.exp(-((raw - model.cut) / model.spread + np.log(0.3 / 0.7))))
+        assert got[r.doc_id][0].score == pytest.approx(want)
+    twice = docs.unionByName(docs.withColumn("text", F.reverse("text")))
+    assert (quality.fit(twice, labels).weights == quality.fit(twice.repartition(5), labels).weights).all()
+
+
 def test_op10_edges(spark, table):
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, None), (None, 1), (0, 1)], "doc_id long, quality int")
     got = quality.op10(table(ODD), labels).collect()

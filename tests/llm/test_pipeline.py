@@ -33,3 +33,18 @@ def test_run_equals_brute_force(spark, tmp_path):
         want[i] = (ids, len(ids), hashlib.sha256(t.encode()).hexdigest())
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert len(got) == 3 and {r.doc_id: (list(r.ids), r.n_tokens, r.decoded_sha256) for r in got} == want
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows, a column that stages use inside, and an empty table."""
+    odd = [(None, None, None, None, None, "x"), (1, "", "en", None, 0, None), (1, "the cat sat on the mat", "en", "s", 22, "y"), (1, "the cat sat on the mat", "en", "s", 22, "y"), (2, "der Hund und die Katze", "de", "s", 22, "z"), (None, "wo ist das Haus der Frau", "de", None, 24, "z"), (3, "long words " * 20_000, "en", "t", 220_000, "w"), (4, "a b c d", None, "t", 7, None)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, node string")
+    for start in (docs, docs.where("false")):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, now, "").persist()
+            n, before = after.count(), now.count()
+            assert n <= before if name in ("language", "near_duplicates") else n == before if name != "mix" else n <= 3 * before
+            assert name == "encode" or after.columns == start.columns
+            now = after
+        assert (now.count() > 0) == (start.count() > 0)
