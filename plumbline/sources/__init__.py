@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.model import PlumblineError
-from plumbline.sources.archives import DarwinCoreSource, DataPackageSource, header_of
+from plumbline.sources.archives import DarwinCoreSource, DataPackageSource, header_of, sent
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -30,9 +30,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         source = DataPackageSource
     else:
         raise PlumblineError(f"Unsupported dataset input: {path}")
-    header_of(source.opener(str(path).removeprefix("file://")))  # told as it is, not as Spark's error
+    path = sent(spark, str(path))
+    header_of(source.opener(path))  # told as it is, not as Spark's error
     spark.dataSource.register(source)
-    rows = spark.read.format(source.name()).load(str(path))
+    rows = spark.read.format(source.name()).option("path", path).load()
     ids = [F.col(f"`{c}`") for c in ("id", "occurrenceID") if c in rows.columns]
     return rows.withColumn("record_id", F.coalesce(*ids, F.concat(F.lit("row-"), F.col("record_ord").cast("string")))).select("record_ord", "record_id", *(c for c in rows.columns if c != "record_ord"))
 

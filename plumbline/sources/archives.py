@@ -1,4 +1,5 @@
-"""Python data sources for Darwin Core archives and data packages. A file is one stream of rows: it is read as one partition, row by row."""
+"""Python data sources for Darwin Core archives and data packages. A file is one stream of rows: it is read as one partition, row by row. Files of
+stores that only Spark reads are sent to the workers as Spark's own files first (see `sent`)."""
 
 from __future__ import annotations
 
@@ -9,6 +10,8 @@ import os
 import zipfile
 from collections.abc import Iterator
 
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -27,17 +30,42 @@ def core_entry(names: list[str]) -> str:
     return found
 
 
+SENT = "sparkfile:"
+
+
+def local(path: str) -> str:
+    """Where a path's file is on this machine: that of a sent file differs by worker."""
+    return SparkFiles.get(path.removeprefix(SENT)) if path.startswith(SENT) else path.removeprefix("file://")
+
+
+def sent(spark: SparkSession, path: str) -> str:
+    """The path as it is, or that of the file that Spark fetches from its store to every worker; of a data package with its resource."""
+    if "://" not in path or path.startswith("file://"):
+        return path
+    spark.sparkContext.addFile(path)
+    own = SENT + path.rpartition("/")[2]
+    if not path.endswith(".zip"):
+        spark.sparkContext.addFile(f"{path.rpartition('/')[0]}/{resource_of(own)}")
+    return own
+
+
 def open_archive(path: str) -> tuple[io.TextIOBase, str]:
-    z = zipfile.ZipFile(path)
+    z = zipfile.ZipFile(local(path))
     return io.TextIOWrapper(z.open(core_entry(z.namelist())), encoding="utf-8", newline=""), "\t"
 
 
-def open_package(path: str) -> tuple[io.TextIOBase, str]:
-    with open(path, encoding="utf-8") as f:
+def resource_of(path: str) -> str:
+    with open(local(path), encoding="utf-8") as f:
         resources = json.load(f).get("resources")
     if not isinstance(resources, list) or not resources or "path" not in resources[0]:
         raise PlumblineError(f"{path} names no resource")
-    return open(os.path.join(os.path.dirname(path), resources[0]["path"]), encoding="utf-8", newline=""), ","
+    return resources[0]["path"]
+
+
+def open_package(path: str) -> tuple[io.TextIOBase, str]:
+    own = resource_of(path)
+    at = SparkFiles.get(own.rpartition("/")[2]) if path.startswith(SENT) else os.path.join(os.path.dirname(local(path)), own)
+    return open(at, encoding="utf-8", newline=""), ","
 
 
 def rows_of(stream: io.TextIOBase, separator: str) -> Iterator[list[str]]:
@@ -72,7 +100,7 @@ class _Source(DataSource):
 
     @property
     def path(self) -> str:
-        return self.options["path"].removeprefix("file://")
+        return self.options["path"]
 
     def schema(self) -> StructType:
         names = header_of(type(self).opener(self.path))

@@ -116,3 +116,15 @@ def test_resolution(tmp_path):
 def test_specification_chain():
     t = rdf.parse_turtle(NS + '<urn:t-2024-01-01> b:isVersionOf <urn:t> . <urn:m> b:forValidation <urn:t-2024-01-01> ; b:hasSpecification <urn:s> . <urn:s> rdfs:label "Spec" .')
     assert policy.specification(t, "urn:t", "VALIDATION") == ("urn:s", "Spec") and policy.specification(t, "urn:none", "ISSUE") is None
+
+
+def test_datasets_in_a_store_that_only_spark_reads(spark, tmp_path):
+    """An archive and a data package by viewfs."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.own.link./data", f"file://{tmp_path}")
+    with zipfile.ZipFile(tmp_path / "remote.zip", "w") as z:
+        z.writestr("occurrence.txt", "occurrenceID\tcountry\nocc-1\tDE\nocc-2\n")
+    (tmp_path / "remote.json").write_text('{"resources": [{"path": "remote.csv"}]}')
+    (tmp_path / "remote.csv").write_text('id,country\n7,"F, R"\n')
+    got = read_records(spark, "viewfs://own/data/remote.zip").orderBy("record_ord").collect()
+    assert [(r.record_id, r.country) for r in got] == [("occ-1", "DE"), ("occ-2", None)]
+    assert [(r.record_id, r.country) for r in read_records(spark, "viewfs://own/data/remote.json").collect()] == [("7", "F, R")]
