@@ -6,7 +6,7 @@ import os
 import tempfile
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbline import policy
 from plumbline.binding import Bound, bind, matches, split
 from plumbline.functions.text import structured_response
-from plumbline.model import OUTCOMES, PHASES, POST, PRE, RESPONSE_SCHEMA, UNRESOLVED, Binding, Param, Plan, Test
+from plumbline.model import AMEND, OUTCOMES, PHASES, POST, PRE, RESPONSE_SCHEMA, UNRESOLVED, Binding, Param, Plan, Test
 from plumbline.operators import execute, measures
 from plumbline.registry import discover
 from plumbline.sources import cached, read_records
@@ -67,14 +67,28 @@ class Prepared:
 
 @dataclass(frozen=True)
 class Run:
-    """A run's responses and amended records, as lazy tables."""
+    """A run's responses and amended records, as lazy tables; their plans are made when they are first asked for."""
 
     prepared: Prepared
-    responses: DataFrame
-    amended: DataFrame
     dedup: bool = True
     strict: bool = False
 
+    @cached_property
+    def _evaluated(self) -> execute.Evaluated:
+        return execute.evaluate(self.prepared.records, self.prepared.bound.bindings, self.dedup)
+
+    @cached_property
+    def responses(self) -> DataFrame:
+        """The three phases, their measures and the unresolved rows, as one table: the records are scanned once for the rules and once
+        for the measures."""
+        taken = measures.measures_of(self._evaluated, measures_due(self.prepared.bound.bindings), self.strict)
+        rest = unresolved_rows(self.prepared.records.sparkSession, self.prepared.bound)
+        return reduce(DataFrame.unionByName, [self._evaluated.responses(), *([taken] if taken is not None else []), rest])
+
+    @cached_property
+    def amended(self) -> DataFrame:
+        return execute.evaluate(self.prepared.records, self.prepared.bound.bindings, self.dedup, (AMEND,)).amended()
+
     def of(self, phase: str | None = None, test_type: str | None = None, test_id: str | None = None, columns: Sequence[str] | None = None, multirecord: bool | None = None) -> DataFrame:
         """The responses of a phase, a type or a test, or some of their columns. Rules that none of them needs don't run. multirecord
         leaves the measures over all records alone, or leaves them out; unresolved tests count as rows of records."""
@@ -140,14 +154,7 @@ def prepare(spark: SparkSession, dataset: str | DataFrame, definitions: Sequence
 
 
 def run(prepared: Prepared, dedup: bool = True, strict: bool = False) -> Run:
-    """The three phases, their measures and the unresolved rows, as one lazy table: the records are scanned once for the rules and once
-    for the measures."""
-    bindings = prepared.bound.bindings
-    done = execute.evaluate(prepared.records, bindings, dedup)
-    taken = measures.measures_of(done, measures_due(bindings), strict)
-    rest = unresolved_rows(prepared.records.sparkSession, prepared.bound)
-    parts = [done.responses(), *([taken] if taken is not None else []), rest]
-    return Run(prepared, reduce(DataFrame.unionByName, parts), done.amended(), dedup, strict)
+    return Run(prepared, dedup, strict)
 
 
 def run_rule(records: DataFrame, binding: Binding) -> DataFrame:

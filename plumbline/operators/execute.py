@@ -177,16 +177,16 @@ def with_outputs(records: DataFrame, bindings: Sequence[Binding], dedup: bool =
 def response(b: Binding, out: Column, phase: str, columns: Sequence[str] | None = None) -> Column:
     """A row of responses, or those of its columns that are named."""
     status, result, comment, amend, error = (out[k] for k in ("status", "result", "comment", "amendments", "error"))
-    given = {x.param.source: x.value for x in b.params if x.value is not None} | dict(b.test.parameters)
     text = lambda x: F.lit(x).cast("string")
-    now = F.current_timestamp()
-    every = (
-        text(b.test.id).alias("test_id"), text(b.type).alias("test_type"), text(b.rule.cls).alias("implementation_class"), text(b.rule.method).alias("implementation_method"),
-        text(phase).alias("phase"), F.lit(PHASES.index(phase)).alias("phase_ord"), map_literal(given).alias("parameters"),
-        outcome(status, result, amend, phase).alias("status"), status.alias("response_status"), result.alias("response_result"), comment.alias("comment"),
-        message(comment, status, result, error).alias("message"), F.coalesce(amend, F.create_map().cast(NO_MAP)).alias("amendments"), now.alias("started_at"), now.alias("finished_at"),
-    )
-    return F.struct(*(c for name, c in zip(FIELDS, every) if columns is None or name in columns))
+    made = {
+        "test_id": lambda: text(b.test.id), "test_type": lambda: text(b.type), "implementation_class": lambda: text(b.rule.cls), "implementation_method": lambda: text(b.rule.method),
+        "phase": lambda: text(phase), "phase_ord": lambda: F.lit(PHASES.index(phase)),
+        "parameters": lambda: map_literal({x.param.source: x.value for x in b.params if x.value is not None} | dict(b.test.parameters)),
+        "status": lambda: outcome(status, result, amend, phase), "response_status": lambda: status, "response_result": lambda: result, "comment": lambda: comment,
+        "message": lambda: message(comment, status, result, error), "amendments": lambda: F.coalesce(amend, F.create_map().cast(NO_MAP)),
+        "started_at": F.current_timestamp, "finished_at": F.current_timestamp,
+    }
+    return F.struct(*(made[name]().alias(name) for name in FIELDS if columns is None or name in columns))
 
 
 #: Columns of a response that its rule gives; record_ord and record_id come from the record.
